@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semweave.llm import bpe_codec, quality, secret_scan
+from semweave.llm import bpe_codec, kd_shards, license_scan, pii, quality, secret_scan
 from semweave.llm.arrow_rows import span_count, span_text
 
 
@@ -41,5 +41,38 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_quality_rules, op6_bpe_codec)}
+def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards.shard_by_bytes(documents(spark, sf_dir), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.license_labels(documents(spark, sf_dir))
+    at = F.transform("places", lambda p: p["word"])
+    base = F.transform("places", lambda p: p["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(at).alias("first_word"),
+        F.array_max(at).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, "labels")).alias("labels"),
+        "score",
+    )
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pii_spans(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        *(span_count(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE_KINDS),
+        F.sha2(span_text(F.col("spans"), pii.BASE_KINDS), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+        span_count(F.col("spans"), "term").alias("n_term"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_quality_rules, op6_bpe_codec, op8_kd_shards, op9_license_scan, op10_pii)}
 ORACLES: dict[str, str] = {}
