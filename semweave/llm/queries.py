@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semweave.llm import bpe_codec, kd_shards, license_scan, pii, quality, secret_scan
+from semweave.llm import bpe_codec, kd_shards, license_scan, pii, quality, secret_scan, simhash
 from semweave.llm.arrow_rows import span_count, span_text
 
 
@@ -24,6 +24,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir), width=3, radius=2)
+    return found.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality.rule_ledger(documents(spark, sf_dir))
     failed = ~F.col("base_ok")
@@ -74,5 +79,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_quality_rules, op6_bpe_codec, op8_kd_shards, op9_license_scan, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash_dedup, op5_quality_rules, op6_bpe_codec, op8_kd_shards, op9_license_scan, op10_pii)}
 ORACLES: dict[str, str] = {}
