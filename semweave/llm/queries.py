@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semweave.llm import bpe_codec, kd_shards, license_scan, pii, quality, secret_scan, simhash
+from semweave.llm import bpe_codec, kd_shards, license_scan, pii, quality, recompress, secret_scan, simhash
 from semweave.llm.arrow_rows import span_count, span_text
 
 
@@ -46,6 +46,11 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompress.remove_repeats(documents(spark, sf_dir), 35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards.shard_by_bytes(documents(spark, sf_dir), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -79,5 +84,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash_dedup, op5_quality_rules, op6_bpe_codec, op8_kd_shards, op9_license_scan, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash_dedup, op5_quality_rules, op6_bpe_codec, op7_substring_dedup, op8_kd_shards, op9_license_scan, op10_pii)}
 ORACLES: dict[str, str] = {}
