@@ -67,7 +67,7 @@ def map_text(
 
 
 def extend_rows(
-    docs: DataFrame, make_kernel: Callable[[], Callable[[bytes], tuple]], fields: Sequence[tuple[str, pa.DataType, str]], *, text_col: str = "text"
+    docs: DataFrame, make_kernel: Callable[[], Callable[[bytes], tuple]], fields: Sequence[tuple[str, pa.DataType, str]], *, text_col: str = "text", batched: bool = False
 ) -> DataFrame:
     """All columns of ``docs`` and, after them, one for each of ``fields``: what the kernel gives for the whole text."""
     tune_batches(docs)
@@ -80,7 +80,8 @@ def extend_rows(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = list(zip(*(kernel(text or b"") for text in raw_bytes(batch.column(at))), strict=True))
+            texts = [text or b"" for text in raw_bytes(batch.column(at))]
+            out = list(zip(*(kernel(texts) if batched else map(kernel, texts)), strict=True))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, t) for v, t in zip(out, types, strict=True))], names=names)
 
     return docs.mapInArrow(run, schema)

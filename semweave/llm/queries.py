@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semweave.llm import bpe_codec, kd_shards, license_scan, pii, quality, recompress, secret_scan, simhash
+from semweave.llm import bpe_codec, decontaminate, edit_counts, kd_shards, license_scan, pii, quality, recompress, secret_scan, simhash
 from semweave.llm.arrow_rows import span_count, span_text
 
 
@@ -29,6 +29,16 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = edit_counts.masking_edits(documents(spark, sf_dir).select("doc_id", "text"))
+    counted = edit_counts.count_edited(edit_counts.build_trees(docs, extra=("edits",)))
+    return counted.select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_leaves", "n_reencoded")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality.rule_ledger(documents(spark, sf_dir))
     failed = ~F.col("base_ok")
@@ -84,5 +94,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash_dedup, op5_quality_rules, op6_bpe_codec, op7_substring_dedup, op8_kd_shards, op9_license_scan, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash_dedup, op3_edit_token_counts, op4_decontaminate, op5_quality_rules, op6_bpe_codec, op7_substring_dedup, op8_kd_shards, op9_license_scan, op10_pii)}
 ORACLES: dict[str, str] = {}
