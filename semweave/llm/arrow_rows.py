@@ -41,17 +41,19 @@ def map_text(
     id_col: str = "doc_id",
     text_col: str = "text",
     batched: bool = False,
+    also: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Apply a per-document kernel to whole texts.
 
     ``make_kernel`` runs once a task and returns ``bytes -> tuple`` with one value for each of ``fields`` (name, Arrow
     type, Spark DDL type); a ``batched`` one takes and gives the list for a batch of rows. A null text is the empty text; ids, repeated or null, pass through unchanged. Only the two
-    columns named are read, so other columns can have any name.
+    columns named are read, so other columns can have any name; ``also`` adds columns (long) that go along.
     """
-    rows = tune_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    names = ["doc_id", *(f[0] for f in fields)]
-    types = [pa.int64(), *(f[1] for f in fields)]
-    ddl = ", ".join(f"`{n}` {t}" for n, t in zip(names, ["long", *(f[2] for f in fields)], strict=True))
+    also = also or {}
+    rows = tune_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(c.cast("long").alias(n) for n, c in also.items())))
+    names = ["doc_id", *also, *(f[0] for f in fields)]
+    types = [f[1] for f in fields]
+    ddl = ", ".join(f"`{n}` {t}" for n, t in zip(names, [*["long"] * (1 + len(also)), *(f[2] for f in fields)], strict=True))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make_kernel()
@@ -60,7 +62,7 @@ def map_text(
                 continue
             texts = [text or b"" for text in raw_bytes(batch.column(1))]
             out = list(zip(*(kernel(texts) if batched else map(kernel, texts)), strict=True))
-            arrays = [batch.column(0), *(pa.array(v, t) for v, t in zip(out, types[1:], strict=True))]
+            arrays = [batch.column(0), *batch.columns[2:], *(pa.array(v, t) for v, t in zip(out, types, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return rows.mapInArrow(run, ddl)
