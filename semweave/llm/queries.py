@@ -95,4 +95,30 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash_dedup, op3_edit_token_counts, op4_decontaminate, op5_quality_rules, op6_bpe_codec, op7_substring_dedup, op8_kd_shards, op9_license_scan, op10_pii)}
-ORACLES: dict[str, str] = {}
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op5_quality_rules": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+g AS (SELECT rid, i, list_slice(w, i, i + 2) AS k FROM d, unnest(range(1, len(w) - 1)) AS t(i)),
+r AS (SELECT rid, k FROM g GROUP BY rid, k HAVING count(*) > 1),
+c AS (SELECT rid, count(DISTINCT i + j) AS n FROM g JOIN r USING (rid, k), range(0, 3) AS x(j) GROUP BY rid),
+l AS (SELECT rid, line, count(*) AS n FROM d, unnest(string_split(text, chr(10))) AS u(line) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid, line),
+k AS (SELECT rid, sum(n) AS n_lines, sum(n - 1) AS n_dup FROM l GROUP BY rid),
+m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::BIGINT AS word_chars,
+  len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+  coalesce(n_lines, 0) AS n_lines, len(list_filter(w, lambda x: x LIKE '%!!' OR x LIKE '%!!.' OR x LIKE '%!!,')) AS n_shout
+  FROM d LEFT JOIN c USING (rid) LEFT JOIN k USING (rid)),
+f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END
+  + CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words) THEN 16 ELSE 0 END
+  + CASE WHEN 10 * n_shout > 3 * n_words THEN 32 ELSE 0 END)::BIGINT AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f""",
+    "op7_substring_dedup": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w FROM documents),
+p AS (SELECT rid, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM d, unnest(range(1, len(w) - 33)) AS t(i)),
+r AS (SELECT h FROM p GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, i + j AS pos FROM p JOIN r USING (h), range(0, 35) AS x(j)),
+word AS (SELECT rid, pos, w[pos] AS x FROM d, unnest(range(1, len(w) + 1)) AS t(pos)),
+kept AS (SELECT rid, count(*) AS n, string_agg(x, ' ' ORDER BY pos) AS s FROM word ANTI JOIN gone USING (rid, pos) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)""",
+}
