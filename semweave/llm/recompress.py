@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semweave.llm.arrow_rows import raw_bytes, tune_batches
+from semweave.llm.shared import stage_table
 
 WINDOW = 35
 ROUNDS = 4
@@ -254,7 +255,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, *, rounds: int = ROUND
     found = found_blocks(rows, window, rounds)
     named = found.where("not bare")
     shared = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("least"), F.max("block").alias("most"))
-    shared = shared.where("n > 1").select("name", F.expr("least = most").alias("sure"))
+    # written: the join below then exchanges both sides, so that Spark can split the rows of a frequent name
+    shared = stage_table(shared.where("n > 1").select("name", F.expr("least = most").alias("sure")), "shared-names")
     mark = lambda sure: F.struct("p", "m", sure.alias("sure")).alias("mark")
     marks = named.join(shared, "name").select("c1", "c2", mark(F.col("sure")))
     marks = marks.unionByName(found.where("bare").select("c1", "c2", mark(F.lit(False))))
