@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -85,7 +86,9 @@ def ask_batches(inputs: DataFrame, decision: Decision, scorer: Any, config: SemC
         dealt, how = dealt.repartition(threads, *keys), None
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for n, part in enumerate(parts):
+        task = TaskContext.get().partitionId()
+        for i, part in enumerate(parts):
+            n = f"{task}-{i}"
             asked = questions(decision, part)
             if how is not None:
                 rows = how(asked, n)

@@ -71,7 +71,7 @@ class HttpScorer:
     def answerer(self, decision: Decision, config: SemConfig, how: dict, second: bool):
         scorer = self
 
-        def answer(asked: list[Any], n: int) -> list[dict]:
+        def answer(asked: list[Any], n: str) -> list[dict]:
             out: list[dict | None] = [None] * len(asked)
             ca, timeout = (config.cascade_ca_cert_file, config.cascade_timeout) if second else (config.ca_cert_file, config.timeout)
             client = Client(scorer.endpoint, timeout, ca)

@@ -112,7 +112,7 @@ def n_retained(rows: DataFrame, other: DataFrame, keys: list[str], other_keys: l
 
 def stats_frame(spark: SparkSession, work: Work) -> DataFrame:
     found = work.settled().known
-    row = [found.get(n, None if n.startswith("cascade_last") else 0.0 if n.endswith("_ms") else 0) for n in NAMES]
+    row = [found.get(n) if n.startswith("cascade_last") else float(found.get(n) or 0) if n.endswith("_ms") else int(found.get(n) or 0) for n in NAMES]
     return spark.createDataFrame([row], COLUMNS)
 
 
