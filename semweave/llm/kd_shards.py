@@ -6,8 +6,10 @@ its bytes to the left, until every leaf is one shard. All nodes of a level are c
 depends on the number of shards alone. Rows are never moved while the tree grows: a row's node follows from the cuts, a
 table of one row a node.
 
-Equal values of a dimension are ordered by the text's checksum and then by a hash of the id, so a hot value, or a group
-of equal texts with a third of all rows, can be cut; equal texts stay together wherever no cut falls among them.
+Equal texts are one group: they take the least coordinates among them, and stand together in every dimension. Equal
+values of a dimension are ordered by the text's checksum and then by a hash of the row, so a hot value can be cut. A cut
+that falls among equal texts moves to the nearer edge of their group if they weigh ``GROUP_SHARE`` of a shard at most; a
+larger group, say with a third of all rows, is cut.
 
 Defined cases: a null text has size 8 and checksum 0; null ids and repeated rows are rows like others; an empty table
 gives an empty result.
@@ -26,6 +28,9 @@ from semweave.llm.shared import stage_table
 BINS = 4096
 #: A cut may miss its weight by this share of a shard's bytes.
 TOLERANCE = 2e-4
+#: Groups of equal texts up to this share of a shard's bytes are kept whole.
+GROUP_SHARE = 0.01
+TIE_BITS = 19
 #: Rows that one task numbers.
 ROWS_PER_SLOT_TASK = 500_000
 
@@ -55,7 +60,7 @@ def magnitude(value: Column) -> Column:
 
 def key_of(dim: int) -> str:
     """63-bit order along a dimension: coordinate, checksum, hash of the row."""
-    return f"(shiftleft(x{dim}, 47) + shiftleft(shiftright(crc, 4), 19) + tie)"
+    return f"(shiftleft(x{dim}, 47) + shiftleft(shiftright(crc, 4), {TIE_BITS}) + tie)"
 
 
 def key_along(n_dims: int) -> str:
@@ -99,12 +104,27 @@ def grow(rows: DataFrame, n_dims: int, n_shards: int) -> DataFrame:
                 node.goal = r["bytes"] * half / node.shards
                 cut[first] = node
         refine(rows, n_dims, dict(cut), slack)
+        keep_groups(rows, n_dims, cut, slack / TOLERANCE * GROUP_SHARE)
         table = small_table(rows.sparkSession, "node, dim, cut, right_side", [(f, n.dim, n.cut, n.sides[1].first) for f, n in cut.items()])
         side = F.expr(f"if(cut is null or {key_along(n_dims)} < cut, node, right_side)")
         rows = rows.join(table, "node", "left").withColumn("node", side).drop("dim", "cut", "right_side")
     return rows
 
 
+def keep_groups(rows: DataFrame, n_dims: int, cut: dict[int, Node], most: float) -> None:
+    """Move cuts that fall in a group of at most ``most`` bytes to its nearer edge."""
+    inside = {f: n for f, n in cut.items() if n.cut % (1 << TIE_BITS)}
+    if not inside:
+        return
+    table = small_table(rows.sparkSession, "node, dim, cut", [(f, n.dim, n.cut) for f, n in inside.items()])
+    near = rows.join(table, "node").withColumn("key", F.expr(key_along(n_dims))).where(f"shiftright(key, {TIE_BITS}) = shiftright(cut, {TIE_BITS})")
+    for r in near.groupBy("node").agg(F.sum("size").alias("bytes"), F.sum(F.expr("if(key < cut, size, 0)")).alias("below")).collect():  # a row a node
+        n = inside[r["node"]]
+        if r["bytes"] <= most:
+            low = n.cut >> TIE_BITS << TIE_BITS
+            n.cut = low if 2 * r["below"] < r["bytes"] else low + (1 << TIE_BITS)
+
+
 def refine(rows: DataFrame, n_dims: int, todo: dict[int, Node], slack: float) -> None:
     """Find the cut of each node: the key under which ``goal`` bytes lie, ``slack`` off at most."""
     while todo:
@@ -137,14 +157,20 @@ def shard_by_bytes(
     """``doc_id``, ``size``, ``text_crc32``, ``shard`` (near equal sums of ``size``) and ``slot`` (gapless in a shard)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     dims = [category(F.col(c)) for c in categories if c in docs.columns] + [magnitude(F.octet_length(text))]
+    n = len(dims)
     meta = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
+        F.xxhash64(text).alias("hash"),
         *(x.cast("long").alias(f"x{d}") for d, x in enumerate(dims)),
     )
-    meta = meta.withColumn("tie", F.expr("pmod(xxhash64(doc_id, crc, size), 524288)"))
-    rows = stage_table(meta, "shards")
+    meta = meta.withColumn("tie", F.expr(f"pmod(xxhash64(doc_id, crc, size), {1 << TIE_BITS})"))
+    own = stage_table(meta, "shards")
+    least = own.groupBy("crc", "size", "hash").agg(F.count(F.lit(1)).alias("n"), *(F.min(f"x{d}").alias(f"g{d}") for d in range(n)))
+    groups = stage_table(least.where("n > 1").drop("n"), "groups")
+    rows = own.join(groups, ["crc", "size", "hash"], "left").select("doc_id", "size", "crc", "tie", *(F.coalesce(f"g{d}", f"x{d}").alias(f"x{d}") for d in range(n)))
+    rows = stage_table(rows, "points")
     placed = grow(rows, len(dims), n_shards).select("doc_id", "size", "crc", F.col("node").cast("int").alias("shard"))
     return number(placed, rows.count(), n_shards)
 

@@ -174,6 +174,18 @@ def test_shards_are_near_equal(spark):
     assert len(sizes) == 24 and all(abs(v - mean) < 0.03 * mean for v in sizes.values())
 
 
+def test_equal_texts_share_a_shard(spark):
+    from semweave.llm import kd_shards
+
+    docs = spark.range(16000).selectExpr("id as doc_id", "sha2(cast(id % 4000 as string), 256) as text", "cast(id % 11 as string) as source", "cast(id % 3 as string) as lang")
+    shards, sizes = {}, Counter()
+    for r in kd_shards.shard_by_bytes(docs, 24).collect():
+        shards.setdefault(r["doc_id"] % 4000, set()).add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+    assert all(len(x) == 1 for x in shards.values())
+    assert max(sizes.values()) < 1.05 * min(sizes.values())
+
+
 @pytest.mark.parametrize("name", ["op1_secret_scan", "op5_quality_rules", "op6_bpe_codec", "op8_kd_shards", "op9_license_scan", "op10_pii"])
 def test_empty(spark, table_dir, name):
     assert queries.QUERIES[name](spark, f"{table_dir}/empty").collect() == []
