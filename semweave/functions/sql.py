@@ -1,15 +1,23 @@
 """The decision functions in SQL.
 
 For native scorers they are SQL functions: Catalyst inlines their bodies, so filters, joins, EXISTS, HAVING, windows and
-pushdown work on plain ``spark.sql`` strings with no Python at all. Batch scorers are for the DataFrame surface, which
-asks every distinct input once.
+pushdown work on plain ``spark.sql`` strings with no Python at all. For batch scorers they are Arrow functions that ask
+each distinct input of a batch once and remember what a worker has asked; the DataFrame surface, which asks every distinct
+input once a run, is the better way there, and the only one for EXISTS.
 """
 
 from __future__ import annotations
 
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from semweave import decision as D
+from semweave.config import SemConfig
 from semweave.functions.media import MARK
+from semweave.operators.judge import ask_list
 from semweave.operators.scorers import KeywordScorer, SharedPrefixScorer
 
 
@@ -42,4 +50,76 @@ def register(spark: SparkSession, scorer: KeywordScorer | None = None, threshold
         spark.sql(f"create or replace temporary function {head} return {body}")
 
 
-__all__ = ["SharedPrefixScorer", "register"]
+#: Answers that a worker remembers for SQL functions.
+REMEMBERED = 100_000
+_memo: dict[Any, Any] = {}
+
+
+def answers_of(scorer: Any, config: SemConfig, asked: list[tuple[D.Decision, Any] | None]) -> list[Any]:
+    """Answers of a batch of rows; None where an input is NULL. Each distinct question is asked once."""
+    new: dict[D.Decision, dict[Any, None]] = {}
+    for x in asked:
+        if x is not None and (scorer.identity, x[0].identity, x[1]) not in _memo:
+            new.setdefault(x[0], {})[x[1]] = None
+    if len(_memo) > REMEMBERED:
+        _memo.clear()
+        return answers_of(scorer, config, asked)
+    for decision, questions in new.items():
+        real = list(questions) if decision.pairwise else [list(x) for x in questions]
+        for question, answer in zip(questions, ask_list(real, decision, scorer, config), strict=True):
+            _memo[scorer.identity, decision.identity, question] = answer
+    return [None if x is None else _memo[scorer.identity, x[0].identity, x[1]] for x in asked]
+
+
+def register_batch(spark: SparkSession, scorer: Any, config: SemConfig | None = None) -> None:
+    """The decision functions of a batch or HTTP scorer: sem_holds, sem_probability, their pair forms, sem_choose, sem_score."""
+    config = config or SemConfig()
+    one = lambda text: None if text is None else (("document", text),)
+
+    def ask(make: Any, *columns: pd.Series) -> list[Any]:
+        rows = []
+        for condition, *rest in zip(*columns, strict=True):
+            question, decision = make(condition, *rest)
+            rows.append(None if question is None else (decision, question))
+        return answers_of(scorer, config, rows)
+
+    def single(c, x):
+        return one(x), D.probability(c)
+
+    def pair(c, a, b):
+        return (None if a is None or b is None else (a, b)), D.probability(c, True)
+
+    def choice(c, x, labels):
+        return one(x), D.choose(c, list(labels))
+
+    def level(c, x, levels):
+        return one(x), D.score(c, list(levels))
+
+    def over(values: list[Any]) -> pd.Series:
+        return pd.Series([None if v is None else v >= config.threshold for v in values], dtype=object)
+
+    def probability(c: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series(ask(single, c, x), dtype="float64")
+
+    def holds(c: pd.Series, x: pd.Series) -> pd.Series:
+        return over(ask(single, c, x))
+
+    def probability_pair(c: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(ask(pair, c, a, b), dtype="float64")
+
+    def holds_pair(c: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return over(ask(pair, c, a, b))
+
+    def choose(c: pd.Series, x: pd.Series, labels: pd.Series) -> pd.Series:
+        return pd.Series(ask(choice, c, x, labels), dtype=object)
+
+    def score(c: pd.Series, x: pd.Series, levels: pd.Series) -> pd.Series:
+        return pd.Series(ask(level, c, x, levels), dtype="float64")
+
+    kinds = {"sem_probability": (probability, "double"), "sem_holds": (holds, "boolean"), "sem_probability_pair": (probability_pair, "double"), "sem_holds_pair": (holds_pair, "boolean"), "sem_choose": (choose, "string"), "sem_score": (score, "double")}
+    for name, (function, kind) in kinds.items():
+        spark.sql(f"drop temporary function if exists {name}")
+        spark.udf.register(name, F.pandas_udf(function, kind))
+
+
+__all__ = ["SharedPrefixScorer", "register", "register_batch"]

@@ -109,6 +109,20 @@ def ask_batches(inputs: DataFrame, decision: Decision, scorer: Any, config: SemC
     return dealt.mapInPandas(run, schema).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def ask_list(asked: list[Any], decision: Decision, scorer: Any, config: SemConfig) -> list[Any]:
+    """Answers of a batch scorer to a list of distinct questions, outside a judge stage."""
+    if getattr(scorer, "plan", None) is not None:
+        how = {"layout": config.layout if config.layout != "auto" else "pack", "anchor": config.anchor}
+        return [r[decision.answer] for r in scorer.answerer(decision, config, how, False)(asked, "sql")]
+    out: list[Any] = []
+    for at in range(0, len(asked), config.k):
+        answers = [checked(decision, a)[decision.answer] for a in scorer.ask(decision, asked[at : at + config.k])]
+        if config.on_error == "error" and None in answers:
+            raise AnswerError("a question has no answer")
+        out += answers
+    return out
+
+
 def present(keys: Sequence[str]) -> Column:
     out = F.col(keys[0]).isNotNull()
     for k in keys[1:]:
@@ -116,4 +130,4 @@ def present(keys: Sequence[str]) -> Column:
     return out
 
 
-__all__ = ["AnswerError", "RECORD", "PAIR", "ask_batches", "checked", "is_native", "keys_of", "native_answer", "present", "questions", "texts_of"]
+__all__ = ["AnswerError", "RECORD", "PAIR", "ask_batches", "ask_list", "checked", "is_native", "keys_of", "native_answer", "present", "questions", "texts_of"]

@@ -271,3 +271,16 @@ def test_stream(spark, tmp_path, reviews):
     q = decide_stream(stream, sem, lambda run, batch: run.filter(batch, "p", "review"), sink).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     assert ids(spark.read.parquet(f"{tmp_path}/out/*")) == [1, 3, 5]
+
+
+@pytest.mark.parametrize("kind", ["native", "batch"])
+def test_sql_functions(spark, reviews, kind):
+    from semweave.functions.sql import register, register_batch
+
+    register(spark) if kind == "native" else register_batch(spark, BATCH)
+    reviews.createOrReplaceTempView("sem_reviews")
+    sql = lambda q: [tuple(r) for r in spark.sql(q).collect()]
+    assert sql("select id from sem_reviews where id > 1 and sem_holds('p', review) order by id") == [(3,), (5,)]
+    assert sql("select id, sem_probability('p', review), not sem_holds('p', review) from sem_reviews where id in (2, 3, 4) order by id") == [(2, 0.1, True), (3, 0.9, False), (4, None, None)]
+    assert sql("select sem_choose('q', review, array('film', 'plot')), sem_score('q', review || '!', array('a', 'b', 'c')) from sem_reviews where id = 5") == [("plot", 1.0)]
+    assert sql("select a.id, b.id from sem_reviews a join sem_reviews b on a.id < b.id and b.id < 4 where sem_holds_pair('p', a.review, b.review) order by 1, 2") == [(1, 2), (1, 3), (2, 3)]
