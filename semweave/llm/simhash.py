@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semweave.llm.arrow_rows import map_text
+from semweave.llm.arrow_rows import map_text, raw_bytes, tune_batches
 from semweave.llm.components import connected_components
 from semweave.llm.shared import stage_table
 
@@ -201,6 +201,8 @@ def hex_print(fp: Column) -> Column:
 
 
 BANDS, BAND_ROWS, BINS = 12, 3, 256
+#: Four standard errors of a sketch's similarity: pairs this near the threshold are compared by their whole texts.
+MARGIN = 0.1
 _seeds = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -232,8 +234,9 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & (a != 0)).sum(axis=1) / np.maximum(used, 1)
 
 
-def similar_links(texts: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) of fingerprints of similar texts among the distinct ``texts`` (c1, c2, fp, keys, sketch).
+def similar_links(texts: DataFrame, whole: DataFrame, least: float, width: int) -> DataFrame:
+    """Links (a, b) of fingerprints of similar texts among the distinct ``texts`` (c1, c2, fp, keys, sketch); ``whole`` has
+    the texts themselves (c1, c2, text).
 
     In each group of equal band keys every text is compared with two leaders, the first and the last by a hash that
     differs from band to band: two comparisons a text and band however large the group is, and no pairs within it."""
@@ -244,16 +247,36 @@ def similar_links(texts: DataFrame, least: float) -> DataFrame:
     pairs = pairs.where("l.fp <> fp").select("c1", "c2", "fp", F.col("l.c1").alias("l1"), F.col("l.c2").alias("l2"), F.col("l.fp").alias("lfp")).distinct()
     own = texts.select("c1", "c2", "sketch")
     other = texts.select(F.col("c1").alias("l1"), F.col("c2").alias("l2"), F.col("sketch").alias("other"))
-    met = pairs.join(own, ["c1", "c2"]).join(other, ["l1", "l2"]).select("fp", "lfp", "sketch", "other")
+    met = pairs.join(own, ["c1", "c2"]).join(other, ["l1", "l2"]).select("fp", "lfp", "c1", "c2", "l1", "l2", "sketch", "other")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
-                keep = pa.array(similarity(a, b) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (6, 7))
+                s = similarity(a, b)
+                out = pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(s >= least + MARGIN)], names=["a", "b", "c1", "c2", "l1", "l2", "sure"])
+                yield out.filter(pa.array(s >= least - MARGIN))
+
+    near = stage_table(met.mapInArrow(run, "a long, b long, c1 long, c2 long, l1 long, l2 long, sure boolean"), "near")
+    open_ = near.where("not sure")
+    need = open_.select("c1", "c2").union(open_.select("l1", "l2")).distinct()
+    held = stage_table(whole.join(need, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.first("text").alias("text")), "near-texts")
+    left, right = held.withColumnRenamed("text", "x"), held.select(F.col("c1").alias("l1"), F.col("c2").alias("l2"), F.col("text").alias("y"))
+    both = tune_batches(open_.join(left, ["c1", "c2"]).join(right, ["l1", "l2"]).select("a", "b", "x", "y"))
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: dict[bytes, np.ndarray] = {}
+            keep = []
+            for x, y in zip(raw_bytes(batch.column(2)), raw_bytes(batch.column(3)), strict=True):
+                for t in (x, y):
+                    if t not in sets:
+                        sets[t] = np.unique(shingle_hashes(t, width))
+                shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                keep.append(shared >= least * (len(sets[x]) + len(sets[y]) - shared))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return met.mapInArrow(run, "a long, b long")
+    return near.where("sure").select("a", "b").unionByName(both.mapInArrow(compare, "a long, b long"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 3, least: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,7 +284,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 3, least
 
     Texts are linked if their fingerprints are within the radius, or if the similarity of their sets of shingles is
     ``least`` or more. At 0.8 fingerprints of 64 bits differ in about ten: no tree prunes at such a radius, so those
-    links come from band keys of the same shingle hashes and are verified on sketches.
+    links come from band keys of the same shingle hashes, and are verified on sketches, near the threshold on texts.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = {"__k0": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "__k1": F.xxhash64(text), "__k2": F.crc32(text.cast("binary")).cast("long")}
@@ -274,7 +297,8 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 3, least
     also = {"k0": key["__k0"], "c1": key["__k1"], "c2": key["__k2"]}
     rows = stage_table(map_text(docs, lambda: kernel, fields, id_col=id_col, text_col=text_col, also=also), "sketches")
     texts = rows.groupBy("c1", "c2").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    links = link_prints(rows.select("fp").distinct(), radius).unionByName(similar_links(texts, least))
+    whole = docs.select(key["__k1"].alias("c1"), key["__k2"].alias("c2"), text.alias("text"))
+    links = link_prints(rows.select("fp").distinct(), radius).unionByName(similar_links(texts, whole, least, width))
     labels = connected_components(links, "similar")
     labelled = rows.join(labels, rows.fp == labels.id, "left").select(F.coalesce("label", "fp").alias("label"), F.struct("k0", "c1", "c2").alias("k"))
     kept = labelled.groupBy("label").agg(F.min("k").alias("k")).select(F.col("k.k0").alias("__k0"), F.col("k.c1").alias("__k1"), F.col("k.c2").alias("__k2"))
