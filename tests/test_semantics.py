@@ -226,6 +226,34 @@ def test_reduction_changes_no_rows(spark, how):
             assert few < many, name
 
 
+def test_chains_of_joins_are_reduced(spark):
+    rep = spark.createDataFrame([(i, f"{'good' if i % 3 == 0 else 'bad'} {i}", i % 4) for i in range(12)], "rid int, rtext string, team int")
+    iss = spark.createDataFrame([(i, f"issue {i}") for i in range(20)], "iid int, itext string")
+    notes = spark.createDataFrame([(3, "a"), (5, "b"), (5, "b"), (7, None), (None, "a")], "nid int, note string")
+    kinds = spark.createDataFrame([("a", 1), ("c", 2)], "kind string, n int")
+    team = spark.createDataFrame([(0,), (1,)], "t int")
+    shapes = {
+        "relation": [(notes, [("iid", "nid")], "inner"), (kinds, [("note", "kind")], "inner")],
+        "relation semi": [(notes, [("iid", "nid")], "inner"), (kinds, [("note", "kind")], "left_semi")],
+        "both inputs": [(notes, [("iid", "nid")], "inner"), (team, [("team", "t")], "left_semi")],
+        "anti": [(team, [("team", "t")], "left_anti"), (notes, [("iid", "nid")], "left_semi")],
+    }
+    pairs = {"relation": 12 * 1, "relation semi": 12 * 1, "both inputs": 6 * 3, "anti": 6 * 3}
+    for name, joins in shapes.items():
+        got = []
+        for reduce in (True, False):
+            sem = connect(spark, scorer=KeywordScorer(), reduce_inputs=reduce)
+            with sem.run():
+                tree = query(sem, rep).sem_join(iss, "p", "rtext", "itext")
+                for other, on, how in joins:
+                    tree = tree.join(other, on, how)
+                rows = sorted(map(repr, tree.frame().collect()))
+                got.append((rows, sem.current.work.settled().known["pairs"]))
+                sem.current.work.used = False
+        assert got[0][0] == got[1][0] and got[0][0], name
+        assert (got[0][1], got[1][1]) == (pairs[name], 240), name
+
+
 def test_shared_prefix(spark):
     df = spark.createDataFrame([("abcd", "abxy"), ("", ""), ("é", "è"), ("same", "same"), ("a", "")], "a string, b string")
     sem = connect(spark, scorer=SharedPrefixScorer())
