@@ -237,13 +237,24 @@ def window_hashes(names: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
     return Rolling(names, BASES[0])(start, start + window).view(np.int64), Rolling(mix(names + ODD_3), BASES[1])(start, start + window).view(np.int64)
 
 
-def open_windows(marks: list[dict] | None, n: int) -> np.ndarray:
-    """Windows that have to be counted one by one."""
-    out = np.zeros(n, bool)
-    for x in marks or ():
-        if not x["sure"]:
-            out[x["p"] : x["p"] + x["m"]] = True
-    return out
+def lists_of(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column as arrays; a null row is empty."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    if column.null_count:
+        valid = column.is_valid().to_numpy(zero_copy_only=False)
+        return [values[i:j] if v else values[:0] for i, j, v in zip(at[:-1].tolist(), at[1:].tolist(), valid.tolist(), strict=True)]
+    return [values[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def windows_of(marks: np.ndarray, sure: bool, n: int) -> np.ndarray:
+    """Which of n windows the marks (first window << 32 | windows << 1 | sure) cover: those that are repeats for sure, or
+    those that have to be counted one by one."""
+    marks = marks[(marks & 1) == sure]
+    edge = np.zeros(n + 1, np.int64)
+    first = marks >> 32
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + ((marks >> 1) & 0x7FFFFFFF), -1)
+    return np.cumsum(edge)[:-1] > 0
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, *, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,22 +268,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, *, rounds: int = ROUND
     shared = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("least"), F.max("block").alias("most"))
     # written: the join below then exchanges both sides, so that Spark can split the rows of a frequent name
     shared = stage_table(shared.where("n > 1").select("name", F.expr("least = most").alias("sure")), "shared-names")
-    mark = lambda sure: F.struct("p", "m", sure.alias("sure")).alias("mark")
-    marks = named.join(shared, "name").select("c1", "c2", mark(F.col("sure")))
-    marks = marks.unionByName(found.where("bare").select("c1", "c2", mark(F.lit(False))))
+    mark = "shiftleft(cast(p as bigint), 32) + shiftleft(cast(m as bigint), 1) + {} as mark"
+    marks = named.join(shared, "name").selectExpr("c1", "c2", mark.format("if(sure, 1L, 0L)"))
+    marks = marks.unionByName(found.where("bare").selectExpr("c1", "c2", mark.format("0L")))
     per_text = marks.groupBy("c1", "c2").agg(F.collect_set("mark").alias("marks"))
     met = rows.join(per_text, ["c1", "c2"], "left").select("doc_id", "text", "c1", "c2", "marks")
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[list[np.ndarray]] = [[], [], [], [], []]
-            for text, c1, c2, marks in zip(raw_bytes(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                if not marks or all(x["sure"] for x in marks):
-                    continue
-                h1, h2 = window_hashes(word_names(text.split()), window)
-                pick = open_windows(marks, len(h1))
-                both, n = np.unique(np.stack([h1[pick], h2[pick]], axis=1), axis=0, return_counts=True)
-                for part, x in zip(parts, (both[:, 0], both[:, 1], np.full(len(n), c1), np.full(len(n), c2), n), strict=True):
+            marks = lists_of(batch.column(4))
+            todo = [i for i, m in enumerate(marks) if ((m & 1) == 0).any()]
+            if not todo:
+                continue
+            texts, c1, c2 = batch.column(1), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            for i in todo:
+                h1, h2 = window_hashes(word_names(texts[i].as_py().encode().split()), window)
+                pick = windows_of(marks[i], False, len(h1))
+                one, first, n = np.unique(h1[pick], return_index=True, return_counts=True)
+                for part, x in zip(parts, (one, h2[pick][first], np.full(len(n), c1[i]), np.full(len(n), c2[i]), n), strict=True):
                     part.append(x)
             if parts[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in parts], names=["h1", "h2", "c1", "c2", "n"])
@@ -288,28 +302,26 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, *, rounds: int = ROUND
             if not batch.num_rows:
                 continue
             n_words, n_removed, kept = [], [], []
-            for text, marks, hits in zip(raw_bytes(batch.column(1)), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            for text, marks, hits in zip(raw_bytes(batch.column(1)), lists_of(batch.column(4)), lists_of(batch.column(5)), strict=True):
                 words = text.split()
                 gone = 0
-                if marks and len(words) >= window:
-                    hit = np.zeros(len(words) + 1, np.int64)
-                    starts = np.zeros(len(words) - window + 1, bool)
-                    for x in marks:
-                        if x["sure"]:
-                            starts[x["p"] : x["p"] + x["m"]] = True
-                    if hits:
+                if len(marks):
+                    n = len(words) - window + 1
+                    starts = windows_of(marks, True, n)
+                    if len(hits):
                         h1, _ = window_hashes(word_names(words), window)
-                        starts |= open_windows(marks, len(h1)) & np.isin(h1, np.array(hits, np.int64))
+                        starts |= windows_of(marks, False, n) & np.isin(h1, hits)
                     at = np.flatnonzero(starts)
+                    hit = np.zeros(len(words) + 1, np.int64)
                     np.add.at(hit, at, 1)
                     np.add.at(hit, at + window, -1)
                     stay = np.cumsum(hit)[:-1] == 0
                     gone = len(words) - int(stay.sum())
-                    kept.append(b" ".join([words[i] for i in np.flatnonzero(stay).tolist()] if gone else words).decode())
-                else:
-                    kept.append(b" ".join(words).decode())
-                n_words.append(len(words))
+                    if gone:
+                        words = [words[i] for i in np.flatnonzero(stay).tolist()]
+                n_words.append(len(words) + gone)
                 n_removed.append(gone)
+                kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return last.mapInArrow(cleared, "doc_id long, n_words long, n_removed long, kept string")
