@@ -77,13 +77,15 @@ def ask_batches(inputs: DataFrame, decision: Decision, scorer: Any, config: SemC
     keys = keys_of(decision)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in inputs.select(*keys).schema.fields)}, {ASKED}"
     size = config.cascade_batch_size if second else config.k
-    threads = config.cascade_threads if second else config.threads
     plan = getattr(scorer, "plan", None)
     dealt = inputs.select(*keys)
     if plan is not None:
         dealt, how = plan(dealt, decision, config, second)
     else:
-        dealt, how = dealt.repartition(threads, *keys), None
+        # local work goes to the whole cluster; ``threads`` only bounds the connections to a service
+        spark = inputs.sparkSession
+        n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt, how = dealt.repartition(n, *keys), None
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
