@@ -107,7 +107,8 @@ def grow(rows: DataFrame, n_dims: int, n_shards: int) -> DataFrame:
         keep_groups(rows, n_dims, cut, slack / TOLERANCE * GROUP_SHARE)
         table = small_table(rows.sparkSession, "node, dim, cut, right_side", [(f, n.dim, n.cut, n.sides[1].first) for f, n in cut.items()])
         side = F.expr(f"if(cut is null or {key_along(n_dims)} < cut, node, right_side)")
-        rows = rows.join(table, "node", "left").withColumn("node", side).drop("dim", "cut", "right_side")
+        # written a level: the passes of the next one read it, instead of making all cuts again
+        rows = stage_table(rows.join(table, "node", "left").withColumn("node", side).drop("dim", "cut", "right_side"), "level")
     return rows
 
 
