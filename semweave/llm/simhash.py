@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semweave.llm.arrow_rows import map_text, raw_bytes, tune_batches
+from semweave.llm.arrow_rows import map_text, tune_batches
 from semweave.llm.components import connected_components
 from semweave.llm.shared import stage_table
 
@@ -203,6 +203,8 @@ def hex_print(fp: Column) -> Column:
 BANDS, BAND_ROWS, BINS = 12, 3, 256
 #: Four standard errors of a sketch's similarity: pairs this near the threshold are compared by their whole texts.
 MARGIN = 0.1
+#: Shingles that a task remembers while it compares texts.
+HELD = 1_000_000
 _seeds = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -267,11 +269,15 @@ def similar_links(texts: DataFrame, whole: DataFrame, least: float, width: int)
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets: dict[bytes, np.ndarray] = {}
-            keep = []
-            for x, y in zip(raw_bytes(batch.column(2)), raw_bytes(batch.column(3)), strict=True):
+            keep, held_words = [], 0
+            for i in range(batch.num_rows):
+                x, y = (batch.column(c)[i].as_py().encode() for c in (2, 3))
+                if held_words > HELD:  # a leader's set serves many pairs; what is remembered stays small
+                    sets, held_words = {}, 0
                 for t in (x, y):
                     if t not in sets:
                         sets[t] = np.unique(shingle_hashes(t, width))
+                        held_words += len(sets[t])
                 shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                 keep.append(shared >= least * (len(sets[x]) + len(sets[y]) - shared))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
