@@ -197,9 +197,6 @@ def hex_print(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-
-
-
 BANDS, BAND_ROWS, BINS = 12, 3, 256
 #: Four standard errors of a sketch's similarity: pairs this near the threshold are compared by their whole texts.
 MARGIN = 0.1
@@ -231,40 +228,69 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of shingle sets, from rows of sketches; exact while no bin holds two shingles."""
+    """Jaccard similarity of shingle sets, from rows of sketches; exact while no bin holds two shingles, 1 for empty sets."""
     used = ((a != 0) | (b != 0)).sum(axis=1)
-    return ((a == b) & (a != 0)).sum(axis=1) / np.maximum(used, 1)
+    return np.where(used == 0, 1, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(used, 1))
 
 
-def similar_links(texts: DataFrame, whole: DataFrame, least: float, width: int) -> DataFrame:
-    """Links (a, b) of fingerprints of similar texts among the distinct ``texts`` (c1, c2, fp, keys, sketch); ``whole`` has
-    the texts themselves (c1, c2, text).
+def led_pairs(member: DataFrame, *leaders: Column) -> DataFrame:
+    """Pairs (c1, c2, l1, l2) of the members (c1, c2, band, key) and each of the leaders, aggregates, of their group."""
+    led = member.groupBy("band", "key").agg(F.array(*(F.struct(x["c1"].alias("l1"), x["c2"].alias("l2")) for x in leaders)).alias("leaders"))
+    pairs = member.join(led, ["band", "key"]).select("c1", "c2", F.explode("leaders").alias("l"))
+    return pairs.select("c1", "c2", "l.l1", "l.l2").distinct()
 
-    In each group of equal band keys every text is compared with two leaders, the first and the last by a hash that
-    differs from band to band: two comparisons a text and band however large the group is, and no pairs within it."""
-    member = texts.select("c1", "c2", "fp", F.posexplode("keys").alias("band", "key")).withColumn("order", F.xxhash64("c1", "c2", "band"))
-    who = F.struct("order", "c1", "c2", "fp")
-    led = member.groupBy("band", "key").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low <> high")
-    pairs = member.join(led, ["band", "key"]).select("c1", "c2", "fp", F.explode(F.array("low", "high")).alias("l"))
-    pairs = pairs.where("l.fp <> fp").select("c1", "c2", "fp", F.col("l.c1").alias("l1"), F.col("l.c2").alias("l2"), F.col("l.fp").alias("lfp")).distinct()
+
+def alike(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs that are at most ``MARGIN`` below the threshold by their sketches, with their similarity times 1000."""
     own = texts.select("c1", "c2", "sketch")
     other = texts.select(F.col("c1").alias("l1"), F.col("c2").alias("l2"), F.col("sketch").alias("other"))
-    met = pairs.join(own, ["c1", "c2"]).join(other, ["l1", "l2"]).select("fp", "lfp", "c1", "c2", "l1", "l2", "sketch", "other")
+    # the leaders first: theirs are the frequent keys, and the rows are still small
+    met = pairs.join(other, ["l1", "l2"]).join(own, ["c1", "c2"]).select("c1", "c2", "l1", "l2", "sketch", "other")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (6, 7))
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
                 s = similarity(a, b)
-                out = pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(s >= least + MARGIN)], names=["a", "b", "c1", "c2", "l1", "l2", "sure"])
+                out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array((s * 1000).astype(np.int64))], names=["c1", "c2", "l1", "l2", "score"])
                 yield out.filter(pa.array(s >= least - MARGIN))
 
-    near = stage_table(met.mapInArrow(run, "a long, b long, c1 long, c2 long, l1 long, l2 long, sure boolean"), "near")
+    return stage_table(met.mapInArrow(run, "c1 long, c2 long, l1 long, l2 long, score long"), "alike")
+
+
+def printed_pairs(texts: DataFrame, radius: int) -> DataFrame:
+    """Pairs (c1, c2, l1, l2) of texts with equal fingerprints, or with fingerprints that the trees link."""
+    first = stage_table(texts.groupBy("fp").agg(F.min(F.struct("c1", "c2")).alias("t"), F.count(F.lit(1)).alias("n")), "first-texts")
+    equal = texts.join(first.where("n > 1"), "fp").select("c1", "c2", F.col("t.c1").alias("l1"), F.col("t.c2").alias("l2"))
+    left, right = first.select(F.col("fp").alias("a"), F.col("t").alias("x")), first.select(F.col("fp").alias("b"), F.col("t").alias("y"))
+    linked = link_prints(first.select("fp"), radius).join(left, "a").join(right, "b")
+    return equal.unionByName(linked.selectExpr("x.c1", "x.c2", "y.c1 as l1", "y.c2 as l2"))
+
+
+def similar_links(texts: DataFrame, whole: DataFrame, least: float, width: int, radius: int) -> DataFrame:
+    """Links (a, b: c1) of similar texts among the distinct ``texts`` (c1, c2, fp, keys, sketch); ``whole`` has the texts
+    themselves (c1, c2, text).
+
+    In each group of equal band keys every text is compared with two leaders, the first and the last by a hash that
+    differs from band to band, and then with the text that was most like all leaders it met: that is the one that the
+    copies of a group were made from, and some are like it alone. So there are three comparisons a text and band however
+    large the group is, and no pairs within it. Every pair is verified, on sketches and near the threshold on the texts.
+    """
+    member = texts.select("c1", "c2", F.posexplode("keys").alias("band", "key"))
+    sizes = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    member = stage_table(member.join(sizes, ["band", "key"]), "band-members")
+    by_hash = F.struct(F.xxhash64("c1", "c2", "band").alias("order"), "c1", "c2")
+    first = alike(led_pairs(member, F.min(by_hash), F.max(by_hash)).unionByName(printed_pairs(texts, radius)).distinct(), texts, least)
+    central = first.groupBy("c1", "c2").agg(F.sum("score").alias("total"))
+    ranked = member.join(central, ["c1", "c2"], "left")
+    middle = alike(led_pairs(ranked, F.max(F.struct("total", "c1", "c2"))), texts, least)
+    near = first.unionByName(middle).where("c1 <> l1 or c2 <> l2").distinct()
+    near = stage_table(near.withColumn("sure", F.col("score") >= 1000 * (least + MARGIN)), "near")
     open_ = near.where("not sure")
     need = open_.select("c1", "c2").union(open_.select("l1", "l2")).distinct()
     held = stage_table(whole.join(need, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.first("text").alias("text")), "near-texts")
     left, right = held.withColumnRenamed("text", "x"), held.select(F.col("c1").alias("l1"), F.col("c2").alias("l2"), F.col("text").alias("y"))
-    both = tune_batches(open_.join(left, ["c1", "c2"]).join(right, ["l1", "l2"]).select("a", "b", "x", "y"))
+    both = tune_batches(open_.join(left, ["c1", "c2"]).join(right, ["l1", "l2"]).select(F.col("c1").alias("a"), F.col("l1").alias("b"), "x", "y"))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,15 +308,16 @@ def similar_links(texts: DataFrame, whole: DataFrame, least: float, width: int)
                 keep.append(shared >= least * (len(sets[x]) + len(sets[y]) - shared))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return near.where("sure").select("a", "b").unionByName(both.mapInArrow(compare, "a long, b long"))
+    return near.where("sure").select(F.col("c1").alias("a"), F.col("l1").alias("b")).unionByName(both.mapInArrow(compare, "a long, b long"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 3, least: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One whole row of each group of near-duplicates: that with the smallest id (null ids last; equal rows: one of them).
 
-    Texts are linked if their fingerprints are within the radius, or if the similarity of their sets of shingles is
-    ``least`` or more. At 0.8 fingerprints of 64 bits differ in about ten: no tree prunes at such a radius, so those
-    links come from band keys of the same shingle hashes, and are verified on sketches, near the threshold on texts.
+    Texts are linked if the similarity of their sets of shingles is ``least`` or more; texts without words are alike.
+    Candidates are fingerprints within the radius, from the trees, and, since at 0.8 fingerprints of 64 bits differ in
+    about ten and no tree prunes at such a radius, band keys of the same shingle hashes. A linked text is named by 64 bits
+    of its hash.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = {"__k0": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "__k1": F.xxhash64(text), "__k2": F.crc32(text.cast("binary")).cast("long")}
@@ -304,9 +331,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 3, least
     rows = stage_table(map_text(docs, lambda: kernel, fields, id_col=id_col, text_col=text_col, also=also), "sketches")
     texts = rows.groupBy("c1", "c2").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     whole = docs.select(key["__k1"].alias("c1"), key["__k2"].alias("c2"), text.alias("text"))
-    links = link_prints(rows.select("fp").distinct(), radius).unionByName(similar_links(texts, whole, least, width))
-    labels = connected_components(links, "similar")
-    labelled = rows.join(labels, rows.fp == labels.id, "left").select(F.coalesce("label", "fp").alias("label"), F.struct("k0", "c1", "c2").alias("k"))
+    labels = connected_components(similar_links(texts, whole, least, width, radius), "similar")
+    group = F.when(F.col("label").isNull(), F.struct("c1", "c2")).otherwise(F.struct(F.col("label").alias("c1"), F.lit(None).cast("long").alias("c2")))
+    labelled = rows.join(labels, rows.c1 == labels.id, "left").select(group.alias("label"), F.struct("k0", "c1", "c2").alias("k"))
     kept = labelled.groupBy("label").agg(F.min("k").alias("k")).select(F.col("k.k0").alias("__k0"), F.col("k.c1").alias("__k1"), F.col("k.c2").alias("__k2"))
     names = docs.columns
     found = docs.withColumns(key).join(kept, list(key), "left_semi").dropDuplicates(list(key))

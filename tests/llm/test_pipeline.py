@@ -106,3 +106,28 @@ def test_large_groups_stay_linear(spark):
         texts.append(" ".join(words))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()] == [0]
+
+
+def test_copies_alike_only_through_their_origin(spark):
+    """Each copy resembles the first text at 0.8 or more; two copies mostly don't resemble one another."""
+    rng = random.Random(8)
+    base = [f"{rng.choice('abcdefghijklmnop')}{i}" for i in range(300)]
+    texts = [" ".join(base)]
+    while len(texts) < 150:
+        words = list(base)
+        for _ in range(rng.randint(1, 6)):
+            words[rng.randrange(300)] = str(rng.random())
+        a, b = shingles(" ".join(words)), shingles(texts[0])
+        if len(a & b) >= 0.8 * len(a | b):
+            texts.append(" ".join(words))
+    other = " ".join(f"o{i}" for i in range(200))
+    docs = spark.createDataFrame(list(enumerate([*texts, other])), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == [0, 150]
+
+
+def test_near_fingerprints_are_verified(spark, monkeypatch):
+    """Texts whose fingerprints are near or equal, but whose shingles are not, both stay; texts without words are alike."""
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "t u v w x y z"), (3, " "), (4, ""), (5, None)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs, radius=3).collect()) == [1, 2, 3]
+    monkeypatch.setattr(simhash, "fingerprint", lambda hashes: len(hashes) % 2)
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs, radius=3).collect()) == [1, 2, 3]
