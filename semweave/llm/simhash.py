@@ -200,6 +200,8 @@ def hex_print(fp: Column) -> Column:
 BANDS, BAND_ROWS, BINS = 12, 3, 256
 #: Four standard errors of a sketch's similarity: pairs this near the threshold are compared by their whole texts.
 MARGIN = 0.1
+#: Keys of 16 bytes that are sent to all executors at most, to pick the texts that have to be compared.
+SENT = 1_000_000
 #: Shingles that a task remembers while it compares texts.
 HELD = 1_000_000
 _seeds = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -287,7 +289,9 @@ def similar_links(texts: DataFrame, whole: DataFrame, least: float, width: int,
     near = first.unionByName(middle).where("c1 <> l1 or c2 <> l2").distinct()
     near = stage_table(near.withColumn("sure", F.col("score") >= 1000 * (least + MARGIN)), "near")
     open_ = near.where("not sure")
-    need = open_.select("c1", "c2").union(open_.select("l1", "l2")).distinct()
+    need = stage_table(open_.select("c1", "c2").union(open_.select("l1", "l2")).distinct(), "open-texts")
+    if need.count() <= SENT:  # else the texts are exchanged once
+        need = F.broadcast(need)
     held = stage_table(whole.join(need, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.first("text").alias("text")), "near-texts")
     left, right = held.withColumnRenamed("text", "x"), held.select(F.col("c1").alias("l1"), F.col("c2").alias("l2"), F.col("text").alias("y"))
     both = tune_batches(open_.join(left, ["c1", "c2"]).join(right, ["l1", "l2"]).select(F.col("c1").alias("a"), F.col("l1").alias("b"), "x", "y"))
