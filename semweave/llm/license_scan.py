@@ -1,8 +1,9 @@
 """License scan by a positional rare-token index.
 
-The index has, for each word of the licence templates, its postings (template, position). Of the licence words in a
-file, those with the highest inverse document frequency in the corpus are looked up; postings that agree on the relative
-position of template and file are intersected, and a template counts only if its mandatory key phrase stands there.
+A template counts only if its mandatory key phrase stands in the file. So the index has, for each template, postings
+(template, position) of the two words of its key phrase with the highest inverse document frequency in the corpus; those
+that agree on the relative position of template and file are intersected, and the template is verified there. No template
+can be missed by it, however many stand in one file.
 
 Defined cases: a null or empty text has no words, labels or places; words are counted from 0; repeated rows give
 repeated results; an empty table gives an empty result.
@@ -41,8 +42,8 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("cc0", "cc0 1 0 universal public domain dedication", "cc0 1 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
 )
-#: Licence words of a file that are looked up, those with the highest IDF first.
-LOOKED_UP = 12
+#: Words of each key phrase that are looked up, those with the highest IDF first.
+LOOKED_UP = 2
 #: Share of a template's words that have to stand in place.
 COVERAGE = 0.6
 
@@ -60,16 +61,19 @@ class Index:
     def __init__(self, templates: Iterable[tuple[str, str, str]], df: dict[str, int], n_docs: int):
         self.templates = [(label, t.encode().split(), key.encode().split()) for label, t, key in templates]
         self.key_at = [next(i for i in range(len(t)) if t[i : i + len(k)] == k) for _, t, k in self.templates]
+        self.vocabulary = {w for _, words, _ in self.templates for w in words}
+        self.idf = {w: math.log((1 + n_docs) / (1 + df.get(w.decode(), 0))) for w in self.vocabulary}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for n, (_, words, _) in enumerate(self.templates):
-            for i, w in enumerate(words):
-                self.postings[w].append((n, i))
-        self.idf = {w: math.log((1 + n_docs) / (1 + df.get(w.decode(), 0))) for w in self.postings}
-        self.vocabulary = set(self.postings)
+        self.looked_up: list[int] = []
+        for n, (_, _, key) in enumerate(self.templates):
+            rare = sorted(range(len(key)), key=lambda i, key=key: (-self.idf[key[i]], key[i], i))[:LOOKED_UP]
+            self.looked_up.append(len(rare))
+            for i in rare:
+                self.postings[key[i]].append((n, self.key_at[n] + i))
 
     def match(self, words: list[bytes], present: set[bytes]) -> dict[str, float]:
         """Labels of the templates in place, with the share of the template's words that stand there."""
-        rare = set(sorted(present, key=lambda w: (-self.idf[w], w))[:LOOKED_UP])
+        rare = present.intersection(self.postings)
         votes: dict[tuple[int, int], set[int]] = defaultdict(set)
         for at, w in enumerate(words):
             if w in rare:
@@ -78,7 +82,7 @@ class Index:
         found: dict[str, float] = {}
         for (n, start), hit in votes.items():
             label, template, key = self.templates[n]
-            if len(hit) < 2:
+            if len(hit) < self.looked_up[n]:
                 continue
             at = start + self.key_at[n]
             if at < 0 or words[at : at + len(key)] != key:

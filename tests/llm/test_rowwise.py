@@ -120,6 +120,21 @@ def test_licenses(spark, rows, table_dir):
             assert {"mit", "apache-2.0", "reserved"} <= set(r["labels"].split(","))
 
 
+def test_bundled_licenses():
+    """Every template in one file is found, whatever else stands there."""
+    index = license_scan.Index(license_scan.TEMPLATES, {}, 1000)
+
+    def labels(*texts):
+        words = license_scan.words_of(" and also ".join(texts).encode())
+        return set(index.match(words, index.vocabulary.intersection(words)))
+
+    for label, template, _ in license_scan.TEMPLATES:
+        for other, second, _ in license_scan.TEMPLATES:
+            assert {label, other} <= labels(template, second)
+    every = labels(*(t for _, t, _ in license_scan.TEMPLATES))
+    assert every == {label for label, _, _ in license_scan.TEMPLATES} and len(every) == 14
+
+
 def luhn(s):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
 
