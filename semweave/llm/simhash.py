@@ -17,6 +17,7 @@ rows are repeated.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semweave.llm.arrow_rows import map_text, tune_batches
+from semweave.llm.arrow_rows import map_text, raw_bytes, tune_batches
 from semweave.llm.components import connected_components
 from semweave.llm.shared import stage_table
 
@@ -204,6 +205,8 @@ MARGIN = 0.1
 SENT = 1_000_000
 #: Shingles that a task remembers while it compares texts.
 HELD = 1_000_000
+#: Counters by which the shingles of crowded band groups are put in order.
+SLOTS = 1 << 18
 _seeds = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -275,8 +278,8 @@ def similar_links(texts: DataFrame, whole: DataFrame, least: float, width: int,
 
     In each group of equal band keys every text is compared with two leaders, the first and the last by a hash that
     differs from band to band, and then with the text that was most like all leaders it met: that is the one that the
-    copies of a group were made from, and some are like it alone. So there are three comparisons a text and band however
-    large the group is, and no pairs within it. Every pair is verified, on sketches and near the threshold on the texts.
+    copies of a group were made from. These three comparisons a text and band link most of a group; ``crowd_links`` then
+    compares what they left apart. Every pair is verified, on sketches and near the threshold on the texts.
     """
     member = texts.select("c1", "c2", F.posexplode("keys").alias("band", "key"))
     sizes = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -312,7 +315,108 @@ def similar_links(texts: DataFrame, whole: DataFrame, least: float, width: int,
                 keep.append(shared >= least * (len(sets[x]) + len(sets[y]) - shared))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return near.where("sure").select(F.col("c1").alias("a"), F.col("l1").alias("b")).unionByName(both.mapInArrow(compare, "a long, b long"))
+    led = near.where("sure").select(F.col("c1").alias("a"), F.col("l1").alias("b")).unionByName(both.mapInArrow(compare, "a long, b long"))
+    led = stage_table(led, "led-links")
+    rest = crowd_links(texts, whole, member, led, least, width)
+    return led if rest is None else led.unionByName(rest)
+
+
+def crowd_links(texts: DataFrame, whole: DataFrame, member: DataFrame, led: DataFrame, least: float, width: int) -> DataFrame | None:
+    """Links (a, b: c1) between texts of one band group that ``led`` leaves in different components.
+
+    The texts of groups that are not yet one component are joined exactly, by a prefix filter on their whole shingle sets:
+    with the shingles in one order, the rarest first, two sets of similarity ``least`` share one of the first
+    n - least n + 1 of each. Pairs of one component need no link. The order is by counts in 2^18 slots, which are all
+    that reaches the driver; any order gives the same links.
+    """
+    labels = connected_components(led, "led")
+    named = member.join(labels, member.c1 == labels.id, "left").select("c1", "c2", "band", "key", F.coalesce("label", "c1").alias("label"))
+    # in a group of three the leaders met everyone
+    split = named.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 3 and low <> high")
+    need = stage_table(named.join(split.select("band", "key"), ["band", "key"], "left_semi").select("c1", "c2", "label").distinct(), "crowd")
+    n_need = need.count()
+    if not n_need:
+        return None
+    held = whole.join(F.broadcast(need) if n_need <= SENT else need, ["c1", "c2"]).groupBy("c1", "c2").agg(F.first("label").alias("label"), F.first("text").alias("text"))
+
+    def shingle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t or b"", width)).view(np.int64) for t in raw_bytes(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["c1", "c2", "label", "hashes"])
+
+    sets = stage_table(tune_batches(held).mapInArrow(shingle, "c1 long, c2 long, label long, hashes array<bigint>"), "crowd-sets")
+    count = sets.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    often = np.zeros(SLOTS, np.int64)
+    often[count["slot"].to_numpy()] = count["n"].to_numpy()
+
+    def prefix(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h = batch.column(3)[i].values.to_numpy()
+                first = h[np.lexsort((h, often[h & (SLOTS - 1)]))][: len(h) - math.ceil(least * len(h) - 1e-9) + 1]
+                own = [np.full(len(first), v, np.int64) for v in (*(batch.column(c)[i].as_py() for c in range(3)), len(h))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first, *own)], names=["h", "c1", "c2", "label", "size"])
+
+    prefixes = sets.mapInArrow(prefix, "h long, c1 long, c2 long, label long, size long")
+    pairs = prefixes.repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: apart_pairs(batches, least), "c1 long, c2 long, l1 long, l2 long")
+    near = alike(pairs.distinct(), texts, least)
+    other = sets.select(F.col("c1").alias("l1"), F.col("c2").alias("l2"), F.col("hashes").alias("y"))
+    both = near.join(sets.select("c1", "c2", F.col("hashes").alias("x")), ["c1", "c2"]).join(other, ["l1", "l2"])
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i in range(batch.num_rows):
+                x, y = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= least * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select(F.col("c1").alias("a"), F.col("l1").alias("b"), "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def apart_pairs(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (c1, c2, l1, l2) of rows (h, c1, c2, label, size), in order of h, with one h, different labels and sizes that
+    allow the similarity."""
+
+    def walk(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.diff(rows[:, 0])) + 1
+        for low, high in zip([0, *edge.tolist()], [*edge.tolist(), len(rows)], strict=True):
+            group = rows[low:high]
+            if high - low < 2 or (group[:, 3] == group[0, 3]).all():
+                continue
+            for i in range(1, len(group)):
+                x, own = group[:i], group[i]
+                met = x[(x[:, 3] != own[3]) & (np.minimum(x[:, 4], own[4]) >= least * np.maximum(x[:, 4], own[4]))]
+                if len(met):
+                    mine = np.broadcast_to(own[1:3], (len(met), 2))
+                    swap = (mine[:, 0] < met[:, 1]) | ((mine[:, 0] == met[:, 1]) & (mine[:, 1] < met[:, 2]))
+                    a, b = np.where(swap[:, None], mine, met[:, 1:3]), np.where(swap[:, None], met[:, 1:3], mine)
+                    yield np.concatenate((a, b), axis=1)
+
+    def batched(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in (*walk(rows), None):
+            if part is not None:
+                held.append(part)
+                size += len(part)
+            if held and (part is None or size >= 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(np.concatenate(held).T)], names=["c1", "c2", "l1", "l2"])
+                held, size = [], 0
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(np.int64))
+        size += batch.num_rows
+        if size >= TOGETHER:
+            rows = np.concatenate(held)
+            edge = np.flatnonzero(np.diff(rows[:, 0]))
+            cut = int(edge[-1]) + 1 if len(edge) else 0  # the last group may go on
+            if cut:
+                yield from batched(rows[:cut])
+            held, size = [rows[cut:]], len(rows) - cut
+    if size:
+        yield from batched(np.concatenate(held))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 3, least: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

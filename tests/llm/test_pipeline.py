@@ -131,3 +131,19 @@ def test_near_fingerprints_are_verified(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs, radius=3).collect()) == [1, 2, 3]
     monkeypatch.setattr(simhash, "fingerprint", lambda hashes: len(hashes) % 2)
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs, radius=3).collect()) == [1, 2, 3]
+
+
+def test_links_between_non_leaders(spark):
+    """Pairs of near copies in a crowd that shares a long passage: every pair keeps one text, whoever leads the crowd."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(140)]
+    texts = []
+    for k in range(400):
+        own = [f"{rng.random()}" for _ in range(60)]
+        texts.append(" ".join(passage + own))
+        own[42:] = [f"{rng.random()}" for _ in range(18)]
+        texts.append(" ".join(passage + own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == list(range(0, 800, 2))
