@@ -1,14 +1,15 @@
 """Benchmark decontamination by the q-gram lemma.
 
-A benchmark item is cut into overlapping probes. A probe of m characters that stands in a document with at most e edits
-shares at least m - q + 1 - q e of its q-grams with it, all on diagonals (place in the document less place in the probe)
-at most e apart. So q-grams are counted in overlapping diagonal bands twice as wide, bands that reach the bound are
-retained, and a banded alignment verifies them.
+A benchmark item is cut into overlapping probes. A probe of m
+characters that stands in a document with at most e edits shares at least m - q + 1 - q e of its q-grams with it, all on
+diagonals (place in the document less place in the item) at most e apart; q is ``Q``, or less where that bound would not be
+positive. So q-grams are counted in overlapping diagonal bands twice as wide, first of the item, then of its probes; bands
+that reach the bound are retained, and an alignment verifies them.
 
 Texts are compared in lower case (A-Z) with white space collapsed. The benchmark, not the corpus, is sent to the tasks,
 in blocks of bounded size: a larger benchmark takes more passes over the documents, not more memory.
 
-Defined cases: null and empty texts and items match nothing; an item shorter than a q-gram is not searched; repeated rows
+Defined cases: null and empty texts and items match nothing; an item of under ``Q`` characters is not searched; repeated rows
 and items give repeated hits; documents of any length are searched whole.
 """
 
@@ -42,28 +43,58 @@ def normal(text: bytes) -> bytes:
     return b" ".join(text.lower().split())
 
 
-def codes(data: bytes) -> np.ndarray:
-    """A 64-bit code of the q-gram at every place: of two overlapping runs of 8 bytes."""
-    n = len(data) - Q + 1
+def codes(data: bytes, q: int = Q) -> np.ndarray:
+    """A 64-bit code of the q-gram at every place: of two overlapping runs of 8 bytes, or of one shorter run."""
+    n = len(data) - q + 1
     if n <= 0:
         return np.empty(0, U)
+    data = data.ljust(len(data) + 8, b"\x00")
     eight = np.empty(len(data) - 7, U)
     for k in range(8):
         part = eight[k::8]
         part[:] = np.frombuffer(data, "<u8", len(part), k)
-    return (eight[:n] * U(0x9E3779B97F4A7C15)) ^ (eight[Q - 8 : Q - 8 + n] * U(0xC2B2AE3D27D4EB4F))
+    if q < 8:
+        return (eight[:n] & U((1 << 8 * q) - 1)) * U(0x9E3779B97F4A7C15)
+    return (eight[:n] * U(0x9E3779B97F4A7C15)) ^ (eight[q - 8 : q - 8 + n] * U(0xC2B2AE3D27D4EB4F))
 
 
 def slots(code: np.ndarray) -> np.ndarray:
     return (code * U(0x165667B19E3779F9)) >> U(64 - FILTER_BITS)
 
 
+class Grams:
+    """Postings of the q-grams, for one q, of items that lie in one text: each place of an item once."""
+
+    def __init__(self, flat: bytes, begin: np.ndarray, size: np.ndarray, q: int):
+        self.q = q
+        place = np.repeat(begin, size - q + 1) + np.arange((size - q + 1).sum()) - np.repeat(np.cumsum(size - q + 1) - (size - q + 1), size - q + 1)
+        code = codes(flat, q)[place]
+        order = np.argsort(code, kind="stable")
+        self.place = place[order]
+        self.code, self.first, self.count = np.unique(code[order], return_index=True, return_counts=True)
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[slots(self.code)] = True
+
+    def meet(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the data and in the items' text with equal q-grams."""
+        code = codes(data, self.q)
+        at = np.flatnonzero(self.filter[slots(code)])
+        which = np.minimum(np.searchsorted(self.code, code[at]), len(self.code) - 1)
+        same = self.code[which] == code[at]
+        at, which = at[same], which[same]
+        count = self.count[which]
+        at = np.repeat(at, count)
+        post = np.repeat(self.first[which], count) + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        return at, self.place[post]
+
+
 class Probes:
-    """Q-gram postings of a block of benchmark items."""
+    """Probes of a block of benchmark items, and the q-gram postings of the items."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], edits: float = EDITS):
         self.text: list[bytes] = []
         self.item: list[int | None] = []
+        texts, begin, start, owner, at_flat = [], [], [], [], 0
         for item, raw in items:
             text = normal(raw)
             if len(text) < Q:
@@ -72,24 +103,28 @@ class Probes:
             for at in sorted({*range(0, last, STRIDE), last}):
                 self.text.append(text[at : at + PROBE])
                 self.item.append(item)
-        size = np.array([len(t) for t in self.text], np.int64)
-        # no more edits than leave a bound of half the q-grams
-        self.budget = np.minimum((size * edits).astype(np.int64), np.maximum(0, (size - Q + 1) // (2 * Q)))
-        self.bound = size - Q + 1 - Q * self.budget
-        each = [codes(t) for t in self.text]
-        code = np.concatenate(each) if each else np.empty(0, U)
-        order = np.argsort(code, kind="stable")
-        self.probe = np.repeat(np.arange(len(each)), [len(c) for c in each])[order]
-        self.offset = np.concatenate([np.arange(len(c)) for c in each])[order] if each else np.empty(0, np.int64)
-        self.code, self.first, self.count = np.unique(code[order], return_index=True, return_counts=True)
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[slots(self.code)] = True
+                start.append(at_flat + at)
+                owner.append(len(texts))
+            texts.append(text)
+            begin.append(at_flat)
+            at_flat += len(text) + PROBE
+        self.begin, self.start, self.owner = np.array(begin, np.int64), np.array(start, np.int64), np.array(owner, np.int64)
+        size = np.array([len(t) for t in texts], np.int64)
+        # the probes of one item are equally long
+        self.long = np.minimum(size, PROBE)
+        self.edits = (self.long * edits).astype(np.int64)
+        self.budget = self.edits[self.owner]
+        self.q = np.maximum(1, np.minimum(Q, self.long // (self.edits + 1)))
+        self.bound = np.maximum(1, self.long - self.q + 1 - self.q * self.edits)
+        flat = (b"\x00" * PROBE).join(texts)
+        self.grams = [Grams(flat, self.begin[self.q == q], size[self.q == q], int(q)) for q in np.unique(self.q)]
+        self.widest = int(self.edits.max(initial=0))
 
     def search(self, texts: list[bytes]) -> list[list[dict]]:
         """For each text its hits: item, number of probes found, fewest edits."""
         found: list[list[dict]] = [[] for _ in texts]
         low = 0
-        while low < len(texts) and len(self.code):
+        while low < len(texts) and self.text:
             high, size = low, 0
             while high < len(texts) and (high == low or size < TOGETHER):
                 size += len(texts[high])
@@ -99,39 +134,49 @@ class Probes:
         return found
 
     def search_some(self, texts: list[bytes], found: list[list[dict]]) -> None:
-        gap = b"\x00" * (PROBE + Q)
+        # so wide that no band reaches over two texts
+        gap = b"\x00" * (PROBE + 4 * self.widest + Q + 2)
         data = gap.join(texts)
         size = np.array([len(t) + len(gap) for t in texts])
         begin = np.cumsum(size) - size
-        code = codes(data)
-        at = np.flatnonzero(self.filter[slots(code)])
-        place = np.minimum(np.searchsorted(self.code, code[at]), len(self.code) - 1)
-        same = self.code[place] == code[at]
-        at, place = at[same], place[same]
-        if not len(at):
-            return
-        count = self.count[place]
-        at = np.repeat(at, count)
-        post = np.repeat(self.first[place], count) + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-        probe, diagonal = self.probe[post], at - self.offset[post] + PROBE
-        doc = np.searchsorted(begin, at, side="right") - 1
         hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        wide = 2 * (2 * self.budget[probe] + 1)
-        for shift in (0, 1):  # bands overlap by half
-            key = (diagonal + shift * (wide // 2)) // wide * len(self.text) + probe
-            bands, first, n = np.unique(key, return_index=True, return_counts=True)
-            for i in np.flatnonzero(n >= self.bound[probe[first]]):
-                p, d = int(probe[first[i]]), int(doc[first[i]])
-                # the band's place: its first diagonal, one band's width
-                w = int(wide[first[i]])
-                start = (int(bands[i]) // len(self.text)) * w - shift * (w // 2) - PROBE
-                hits.setdefault((d, p), []).append((start, w))
+        for grams in self.grams:
+            at, place = grams.meet(data)
+            item = np.searchsorted(self.begin, place, side="right") - 1
+            diagonal = at - place + int(self.start[-1]) + PROBE
+            wide = 2 * (2 * self.edits[item] + 1)
+            for shift in (0, 1):  # bands overlap by half
+                band = (diagonal + shift * (wide // 2)) // wide
+                _, group, n = np.unique(band * len(self.begin) + item, return_inverse=True, return_counts=True)
+                enough = np.flatnonzero(n[group] >= self.bound[item])
+                # the probes that have this q-gram: they begin at most a probe less a q-gram before it
+                low = np.searchsorted(self.start, np.maximum(place[enough] - self.long[item[enough]] + grams.q, self.begin[item[enough]]))
+                many = np.searchsorted(self.start, place[enough], side="right") - low
+                each = np.repeat(enough, many)
+                probe = np.repeat(low, many) + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+                doc = np.searchsorted(begin, at[each], side="right") - 1
+                key = (doc.astype(np.int64) << 40) + probe
+                order = np.lexsort((band[each], key))
+                key, banded, each, probe = key[order], band[each][order], each[order], probe[order]
+                edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (banded[1:] != banded[:-1])))) if len(key) else np.empty(0, np.int64)
+                n = np.diff(np.append(edge, len(key)))
+                for i in edge[n >= self.bound[item[each[edge]]]]:
+                    w = int(wide[each[i]])
+                    # where the probe stands if on the band's first diagonal
+                    first = int(banded[i]) * w - shift * (w // 2) - int(self.start[-1]) - PROBE + int(self.start[probe[i]])
+                    hits.setdefault((int(key[i]) >> 40, int(probe[i])), []).append((first, first + w))
         best: dict[tuple[int, int | None], dict[int, int]] = {}
         for (d, p), bands_of in hits.items():
-            for start, w in bands_of:
-                a = max(int(begin[d]), start - int(self.budget[p]))
-                b = min(int(begin[d]) + len(texts[d]), start + w + len(self.text[p]) + int(self.budget[p]))
-                far = edits_within(self.text[p], data[a:b], int(self.budget[p]))
+            e, m = int(self.budget[p]), len(self.text[p])
+            joined: list[list[int]] = []
+            for low, high in sorted(bands_of):
+                if joined and low <= joined[-1][1]:
+                    joined[-1][1] = max(joined[-1][1], high)
+                else:
+                    joined.append([low, high])
+            for low, high in joined:
+                a, b = max(int(begin[d]), low - e), min(int(begin[d]) + len(texts[d]), high + m + e)
+                far = edits_within(self.text[p], data[a:b], e)
                 if far is not None:
                     own = best.setdefault((d, self.item[p]), {})
                     own[p] = min(far, own.get(p, far))
@@ -142,22 +187,30 @@ class Probes:
 def edits_within(probe: bytes, region: bytes, budget: int) -> int | None:
     """Fewest edits with which the probe stands somewhere in the region, if at most ``budget``.
 
-    The region is a diagonal band of the document, so a row of the table has a few dozen cells."""
+    A column of the alignment is two integers of a bit a character of the probe (Myers 1999)."""
     if probe in region:
         return 0
     if not budget:
         return None
-    text = np.frombuffer(region, np.uint8)
-    step = np.arange(len(text) + 1)
-    row = np.zeros(len(text) + 1, np.int64)  # the probe may begin anywhere
-    for i, c in enumerate(probe, 1):
-        below = np.empty_like(row)
-        below[0] = i
-        below[1:] = np.minimum(row[:-1] + (text != c), row[1:] + 1)
-        row = np.minimum.accumulate(below - step) + step
-        if row.min() > budget:
-            return None
-    return int(row.min())
+    m = len(probe)
+    every, top = (1 << m) - 1, 1 << (m - 1)
+    equal: dict[int, int] = {}
+    for i, c in enumerate(probe):
+        equal[c] = equal.get(c, 0) | 1 << i
+    up, down, score, best = every, 0, m, m
+    for c in region:
+        eq = equal.get(c, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph, mh = (down | ~(xh | up)) & every, up & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+            best = min(best, score)
+        ph, mh = ph << 1, mh << 1
+        up, down = (mh | ~(xv | ph)) & every, ph & xv & every
+    return best if best <= budget else None
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int, id_col: str, text_col: str) -> list[list[tuple[int | None, bytes]]]:

@@ -89,3 +89,33 @@ def test_decontamination(spark):
     assert len(want) >= 15
     assert decontaminate.contaminated(df, bench.limit(0)).collect() == []
     assert decontaminate.contaminated(df.limit(0), bench).collect() == []
+
+
+def found_in(items, text, **more):
+    return {h["item_id"] for h in decontaminate.Probes([(i, t.encode()) for i, t in enumerate(items)], **more).search([text.encode()])[0]}
+
+
+def test_edits_share_is_honoured():
+    """As many edits as the share allows, evenly spread, whatever the share."""
+    rng = random.Random(4)
+    item = "".join(rng.choice("abcdefgh ") for _ in range(600)).replace("  ", "ab")
+    for share in (0.05, 0.1, 0.2, 0.34):
+        for m in (20, 21, 23, 24, 35, 60, 100, 300):
+            probes = decontaminate.Probes([(0, item[:m].strip().encode())], edits=share)
+            for p, probe in enumerate(probes.text):
+                e = int(len(probe) * share)
+                assert probes.budget[p] == e
+                text = bytearray(probe)
+                for k in range(e):
+                    text[(2 * k + 1) * len(text) // (2 * e)] = ord("#")
+                assert probes.search([b"start " + bytes(text) + b" end"])[0]
+
+
+def test_edits_within():
+    rng = random.Random(5)
+    for _ in range(300):
+        word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+        probe, region = word(rng.randint(1, 12)), word(rng.randint(0, 30))
+        want = distance(probe, region)
+        assert decontaminate.edits_within(probe.encode(), region.encode(), 20) == want
+        assert decontaminate.edits_within(probe.encode(), region.encode(), want - 1 if want else 0) == (None if want else 0)
