@@ -1,6 +1,7 @@
 """Benchmark decontamination by the q-gram lemma.
 
-A benchmark item is cut into overlapping probes. A probe of m
+A benchmark item is cut into overlapping probes, one from each word and each ``STRIDE`` characters of a longer word, so every passage of
+``PROBE`` characters from the start of a word, and any of ``PROBE + STRIDE - 1``, holds a whole probe. A probe of m
 characters that stands in a document with at most e edits shares at least m - q + 1 - q e of its q-grams with it, all on
 diagonals (place in the document less place in the item) at most e apart; q is ``Q``, or less where that bound would not be
 positive. So q-grams are counted in overlapping diagonal bands twice as wide, first of the item, then of its probes; bands
@@ -15,8 +16,10 @@ and items give repeated hits; documents of any length are searched whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 from semweave.llm.arrow_rows import extend_rows, map_text
 
 Q = 12
-PROBE = 100
-STRIDE = 50
+PROBE = 60
+STRIDE = 10
 #: Edits that a probe may have, as a share of its length.
 EDITS = 0.05
 #: Bytes of benchmark text that go to the tasks at once.
@@ -100,7 +103,8 @@ class Probes:
             if len(text) < Q:
                 continue
             last = max(0, len(text) - PROBE)
-            for at in sorted({*range(0, last, STRIDE), last}):
+            words = [0, *(m.end() for m in re.finditer(b" ", text) if m.end() < last), last]
+            for at in sorted({last, *(i for x, y in pairwise(words) for i in range(x, y, STRIDE))}):
                 self.text.append(text[at : at + PROBE])
                 self.item.append(item)
                 start.append(at_flat + at)

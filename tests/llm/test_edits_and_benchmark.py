@@ -95,6 +95,24 @@ def found_in(items, text, **more):
     return {h["item_id"] for h in decontaminate.Probes([(i, t.encode()) for i, t in enumerate(items)], **more).search([text.encode()])[0]}
 
 
+def test_short_passages():
+    """Every passage of PROBE characters from the start of a word is found, and any that is a stride longer."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    item, before, after = prose(60), prose(20), prose(20)
+    words = item.split()
+    for i in range(len(words)):
+        passage = ""
+        for w in words[i:]:
+            passage = f"{passage} {w}".strip()
+            if len(passage) >= 60:
+                assert found_in([item], f"{before} {passage} {after}") == {0}
+                break
+    for i in range(len(item) - 69):
+        assert found_in([item], f"{before}#{item[i : i + 69]}#{after}") == {0}
+    assert found_in([item], f"{before} {after}") == set()
+
+
 def test_edits_share_is_honoured():
     """As many edits as the share allows, evenly spread, whatever the share."""
     rng = random.Random(4)
