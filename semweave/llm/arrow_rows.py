@@ -8,23 +8,32 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch. Documents can be very long; a batch of this many rows stays far below Arrow's 2 GB limit.
-ROWS_PER_BATCH = 1000
+#: Rows and text bytes that a kernel takes at once. Spark's own batches hold 64 MB and 10000 rows at most.
+ROWS_TOGETHER, BYTES_TOGETHER = 1000, 8_000_000
 
 
-def tune_batches(df: DataFrame, rows: int = ROWS_PER_BATCH) -> DataFrame:
-    """Lower the session's Arrow batch size (never raise it) and return ``df``."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    now = int(conf.get(key))
-    if now <= 0 or now > rows:
-        conf.set(key, str(rows))
-    return df
+def slices(batches: Iterable[pa.RecordBatch], text_at: int = 0) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows and bytes of the text column; a part has one row at least, none is empty."""
+    for batch in batches:
+        column, at = batch.column(text_at), 0
+        ends = np.cumsum(np.diff(np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + batch.num_rows + 1].astype(np.int64)))
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = min(at + ROWS_TOGETHER, max(at + 1, int(np.searchsorted(ends, before + BYTES_TOGETHER, side="right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name_1``, ``name_2``, … that no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if n.lower() not in taken)
 
 
 def raw_bytes(column: pa.Array) -> list[bytes | None]:
@@ -50,16 +59,14 @@ def map_text(
     columns named are read, so other columns can have any name; ``also`` adds columns (long) that go along.
     """
     also = also or {}
-    rows = tune_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(c.cast("long").alias(n) for n, c in also.items())))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *(c.cast("long").alias(n) for n, c in also.items()))
     names = ["doc_id", *also, *(f[0] for f in fields)]
     types = [f[1] for f in fields]
     ddl = ", ".join(f"`{n}` {t}" for n, t in zip(names, [*["long"] * (1 + len(also)), *(f[2] for f in fields)], strict=True))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make_kernel()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, 1):
             texts = [text or b"" for text in raw_bytes(batch.column(1))]
             out = list(zip(*(kernel(texts) if batched else map(kernel, texts)), strict=True))
             arrays = [batch.column(0), *batch.columns[2:], *(pa.array(v, t) for v, t in zip(out, types, strict=True))]
@@ -72,16 +79,13 @@ def extend_rows(
     docs: DataFrame, make_kernel: Callable[[], Callable[[bytes], tuple]], fields: Sequence[tuple[str, pa.DataType, str]], *, text_col: str = "text", batched: bool = False
 ) -> DataFrame:
     """All columns of ``docs`` and, after them, one for each of ``fields``: what the kernel gives for the whole text."""
-    tune_batches(docs)
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, _, t in fields)).fields])
     names, types = schema.names, [f[1] for f in fields]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make_kernel()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, at):
             texts = [text or b"" for text in raw_bytes(batch.column(at))]
             out = list(zip(*(kernel(texts) if batched else map(kernel, texts)), strict=True))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, t) for v, t in zip(out, types, strict=True))], names=names)

@@ -3,13 +3,13 @@
 A node that stands for k shards is cut along its widest dimension at the weighted quantile that gives floor(k/2)/k of
 its bytes to the left, until every leaf is one shard. All nodes of a level are cut together: histograms of at most
 ``BINS`` bins a node are aggregated over the rows and the bin that holds the cut is refined, so what reaches the driver
-depends on the number of shards alone. Rows are never moved while the tree grows: a row's node follows from the cuts, a
-table of one row a node.
+depends on the number of shards alone. Rows are written once and never moved while the tree grows: a row's node is an
+expression of its coordinates, made of the cuts.
 
 Equal texts are one group: they take the least coordinates among them, and stand together in every dimension. Equal
-values of a dimension are ordered by the text's checksum and then by a hash of the row, so a hot value can be cut. A cut
-that falls among equal texts moves to the nearer edge of their group if they weigh ``GROUP_SHARE`` of a shard at most; a
-larger group, say with a third of all rows, is cut.
+values of a dimension are ordered by the text's checksum and then by a hash of the row's own number, so a hot value can be
+cut, repeated rows too. A cut that falls among equal texts moves to the nearer edge of their group if that shifts no shard
+below it by more than ``GROUP_SLACK`` of its bytes; the law goes first, and a group that is too large for that is cut.
 
 Defined cases: a null text has size 8 and checksum 0; null ids and repeated rows are rows like others; an empty table
 gives an empty result.
@@ -20,17 +20,20 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from semweave.llm.shared import stage_table
 
-BINS = 4096
+#: Bins of a node's histogram.
+BINS = 1 << 16
 #: A cut may miss its weight by this share of a shard's bytes.
-TOLERANCE = 2e-4
-#: Groups of equal texts up to this share of a shard's bytes are kept whole.
-GROUP_SHARE = 0.01
+TOLERANCE = 5e-4
+#: A cut may miss it by this share of the bytes of the smaller side's shards, to keep a group of equal texts whole.
+GROUP_SLACK = 0.005
 TIE_BITS = 19
+#: Bits of a key below its coordinate.
+COORDINATE = 47
 #: Rows that one task numbers.
 ROWS_PER_SLOT_TASK = 500_000
 
@@ -60,12 +63,12 @@ def magnitude(value: Column) -> Column:
 
 def key_of(dim: int) -> str:
     """63-bit order along a dimension: coordinate, checksum, hash of the row."""
-    return f"(shiftleft(x{dim}, 47) + shiftleft(shiftright(crc, 4), {TIE_BITS}) + tie)"
+    return f"shiftleft(x{dim}, {COORDINATE}) + shiftleft(shiftright(crc, 4), {TIE_BITS}) + tie"
 
 
 def key_along(n_dims: int) -> str:
     """The order along the row's ``dim``."""
-    return "case dim " + " ".join(f"when {d} then {key_of(d)}" for d in range(n_dims)) + " end"
+    return "case dim " + " ".join(f"when {d} then k{d}" for d in range(n_dims)) + " end"
 
 
 def leaves(node: Node) -> list[Node]:
@@ -78,42 +81,49 @@ def small_table(spark: SparkSession, columns: str, rows: list[tuple[int, ...]])
     return F.broadcast(spark.sql(f"select * from values {values} as t({columns})"))
 
 
-def grow(rows: DataFrame, n_dims: int, n_shards: int) -> DataFrame:
-    """``rows`` (size, crc, tie, x0..) with ``node``, the shard, after all cuts."""
+def place(node: Node) -> str:
+    """The leaf of a row: a choice between two sides at each cut."""
+    if not node.sides or node.dim < 0:
+        return f"{node.first}L"
+    return f"if(k{node.dim} < {node.cut}L, {place(node.sides[0])}, {place(node.sides[1])})"
+
+
+def extent(stats: Row, dim: int) -> int:
+    """How far a node's coordinates reach along a dimension."""
+    return (stats[f"h{dim}"] >> COORDINATE) - (stats[f"l{dim}"] >> COORDINATE)
+
+
+def grow(points: DataFrame, n_dims: int, n_shards: int) -> DataFrame:
+    """``points`` (size, keys k0..) with ``node``, the shard, after all cuts."""
     root = Node(n_shards, 0)
     spread: list[int] = []
-    rows = rows.withColumn("node", F.lit(0).cast("long"))
+    rows = points.withColumn("node", F.expr(place(root)))
     while open_ := {n.first: n for n in leaves(root) if n.shards > 1}:
         stats = [F.sum("size").alias("bytes")]
-        for d in range(n_dims):
-            key = F.expr(key_of(d))
-            stats += [F.min(f"x{d}").alias(f"l{d}"), F.max(f"x{d}").alias(f"h{d}"), F.min(key).alias(f"kl{d}"), F.max(key).alias(f"kh{d}")]
+        stats += [x for d in range(n_dims) for x in (F.min(f"k{d}").alias(f"l{d}"), F.max(f"k{d}").alias(f"h{d}"))]
         found = {r["node"]: r for r in rows.groupBy("node").agg(*stats).collect()}  # a row a node
         if not found:
             break
         if not spread:
-            spread = [max(1, found[0][f"h{d}"] - found[0][f"l{d}"]) for d in range(n_dims)]
-        slack = TOLERANCE * sum(r["bytes"] for r in found.values()) / n_shards
+            spread = [max(1, extent(found[0], d)) for d in range(n_dims)]
+        each = sum(r["bytes"] for r in found.values()) / n_shards
         cut: dict[int, Node] = {}
         for first, node in open_.items():
             half = node.shards // 2
             node.sides = (Node(half, first), Node(node.shards - half, first + half))
             if r := found.get(first):
-                node.dim = max(range(n_dims), key=lambda d: (r[f"h{d}"] - r[f"l{d}"]) / spread[d])
-                node.low, node.high = r[f"kl{node.dim}"], r[f"kh{node.dim}"] + 1
+                node.dim = max(range(n_dims), key=lambda d: extent(r, d) / spread[d])
+                node.low, node.high = r[f"l{node.dim}"], r[f"h{node.dim}"] + 1
                 node.goal = r["bytes"] * half / node.shards
                 cut[first] = node
-        refine(rows, n_dims, dict(cut), slack)
-        keep_groups(rows, n_dims, cut, slack / TOLERANCE * GROUP_SHARE)
-        table = small_table(rows.sparkSession, "node, dim, cut, right_side", [(f, n.dim, n.cut, n.sides[1].first) for f, n in cut.items()])
-        side = F.expr(f"if(cut is null or {key_along(n_dims)} < cut, node, right_side)")
-        # written a level: the passes of the next one read it, instead of making all cuts again
-        rows = stage_table(rows.join(table, "node", "left").withColumn("node", side).drop("dim", "cut", "right_side"), "level")
+        refine(rows, n_dims, dict(cut), each * TOLERANCE)
+        keep_groups(rows, n_dims, cut, each * GROUP_SLACK)
+        rows = points.withColumn("node", F.expr(place(root)))
     return rows
 
 
 def keep_groups(rows: DataFrame, n_dims: int, cut: dict[int, Node], most: float) -> None:
-    """Move cuts that fall in a group of at most ``most`` bytes to its nearer edge."""
+    """Move cuts that fall in a group of equal texts to its nearer edge, if it costs each shard ``most`` bytes at most."""
     inside = {f: n for f, n in cut.items() if n.cut % (1 << TIE_BITS)}
     if not inside:
         return
@@ -121,7 +131,7 @@ def keep_groups(rows: DataFrame, n_dims: int, cut: dict[int, Node], most: float)
     near = rows.join(table, "node").withColumn("key", F.expr(key_along(n_dims))).where(f"shiftright(key, {TIE_BITS}) = shiftright(cut, {TIE_BITS})")
     for r in near.groupBy("node").agg(F.sum("size").alias("bytes"), F.sum(F.expr("if(key < cut, size, 0)")).alias("below")).collect():  # a row a node
         n = inside[r["node"]]
-        if r["bytes"] <= most:
+        if min(r["below"], r["bytes"] - r["below"]) <= most * min(side.shards for side in n.sides):
             low = n.cut >> TIE_BITS << TIE_BITS
             n.cut = low if 2 * r["below"] < r["bytes"] else low + (1 << TIE_BITS)
 
@@ -132,10 +142,10 @@ def refine(rows: DataFrame, n_dims: int, todo: dict[int, Node], slack: float) ->
         width = {f: max(1, math.ceil((n.high - n.low) / BINS)) for f, n in todo.items()}
         table = small_table(rows.sparkSession, "node, dim, low, high, wide", [(f, n.dim, n.low, n.high, width[f]) for f, n in todo.items()])
         near = rows.join(table, "node").withColumn("key", F.expr(key_along(n_dims))).where("key >= low and key < high")
-        bins = near.groupBy("node", F.expr("(key - low) div wide").alias("bin")).agg(F.sum("size").alias("bytes")).collect()  # BINS a node at most
+        bins = near.groupBy("node", F.expr("(key - low) div wide").alias("bin")).agg(F.sum("size").alias("bytes")).toArrow()  # BINS rows a node at most
         held: dict[int, dict[int, int]] = {f: {} for f in todo}
-        for r in bins:
-            held[r["node"]][r["bin"]] = r["bytes"]
+        for f, b, size in zip(*(c.to_pylist() for c in bins.columns), strict=True):
+            held[f][b] = size
         for f, n in list(todo.items()):
             under, b = n.below, 0
             for b in sorted(held[f]):
@@ -156,22 +166,23 @@ def shard_by_bytes(
     docs: DataFrame, n_shards: int = 24, *, categories: tuple[str, ...] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id``, ``size``, ``text_crc32``, ``shard`` (near equal sums of ``size``) and ``slot`` (gapless in a shard)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    dims = [category(F.col(c)) for c in categories if c in docs.columns] + [magnitude(F.octet_length(text))]
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    dims = [category(F.col(f"`{c}`")) for c in categories if c in docs.columns] + [magnitude(F.octet_length(text))]
     n = len(dims)
     meta = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
         F.xxhash64(text).alias("hash"),
         *(x.cast("long").alias(f"x{d}") for d, x in enumerate(dims)),
     )
-    meta = meta.withColumn("tie", F.expr(f"pmod(xxhash64(doc_id, crc, size), {1 << TIE_BITS})"))
+    # the row's own number keeps repeated rows apart; it is written here once
+    meta = meta.withColumn("tie", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << TIE_BITS)))
     own = stage_table(meta, "shards")
     least = own.groupBy("crc", "size", "hash").agg(F.count(F.lit(1)).alias("n"), *(F.min(f"x{d}").alias(f"g{d}") for d in range(n)))
     groups = stage_table(least.where("n > 1").drop("n"), "groups")
-    rows = own.join(groups, ["crc", "size", "hash"], "left").select("doc_id", "size", "crc", "tie", *(F.coalesce(f"g{d}", f"x{d}").alias(f"x{d}") for d in range(n)))
-    rows = stage_table(rows, "points")
+    rows = own.join(groups, ["crc", "size", "hash"], "left").withColumns({f"x{d}": F.coalesce(f"g{d}", f"x{d}") for d in range(n)})
+    rows = stage_table(rows.select("doc_id", "size", "crc", *(F.expr(key_of(d)).alias(f"k{d}") for d in range(n))), "points")
     placed = grow(rows, len(dims), n_shards).select("doc_id", "size", "crc", F.col("node").cast("int").alias("shard"))
     return number(placed, rows.count(), n_shards)
 

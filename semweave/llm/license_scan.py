@@ -1,9 +1,11 @@
 """License scan by a positional rare-token index.
 
 A template counts only if its mandatory key phrase stands in the file. So the index has, for each template, postings
-(template, position) of the two words of its key phrase with the highest inverse document frequency in the corpus; those
-that agree on the relative position of template and file are intersected, and the template is verified there. No template
-can be missed by it, however many stand in one file.
+(template, position) of the words of its key phrase with the highest inverse document frequency in the corpus. A file's
+licence words are looked up from the highest IDF on, until every template is decided: a template goes as soon as one of
+its looked-up words is not in the file, and postings of the others that agree on the relative position of template and
+file are intersected. Where they agree, the key phrase is verified. No template can be missed by this, however many stand
+in one file. The share of the template's words in that region of the file, in any order, is its score.
 
 Defined cases: a null or empty text has no words, labels or places; words are counted from 0; repeated rows give
 repeated results; an empty table gives an empty result.
@@ -19,33 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semweave.llm.arrow_rows import map_text, raw_bytes, tune_batches
+from semweave.llm.arrow_rows import map_text, raw_bytes, slices
+from semweave.llm.license_texts import TEMPLATES
 
 #: Phrases that are always looked for, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: label, template, mandatory key phrase (a part of the template).
-TEMPLATES: tuple[tuple[str, str, str], ...] = (
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "granted free of charge to any person"),
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms"),
-    ("gpl", "under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
-    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
-    ("cc-by", "licensed under cc by 4 0", "cc by 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
-    ("cc0", "cc0 1 0 universal public domain dedication", "cc0 1 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
-)
 #: Words of each key phrase that are looked up, those with the highest IDF first.
 LOOKED_UP = 2
-#: Share of a template's words that have to stand in place.
-COVERAGE = 0.6
+#: Share of a template's words that have to stand in its region, which is longer than the template by SLACK.
+COVERAGE, SLACK = 0.6, 0.25
 
 WORD_BYTES = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -56,12 +41,12 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Index:
-    """Postings of the templates' words, with the corpus's IDF."""
+    """Postings of the key phrases' rarest words, with the corpus's IDF."""
 
     def __init__(self, templates: Iterable[tuple[str, str, str]], df: dict[str, int], n_docs: int):
-        self.templates = [(label, t.encode().split(), key.encode().split()) for label, t, key in templates]
+        self.templates = [(label, words_of(t.encode()), words_of(key.encode())) for label, t, key in templates]
         self.key_at = [next(i for i in range(len(t)) if t[i : i + len(k)] == k) for _, t, k in self.templates]
-        self.vocabulary = {w for _, words, _ in self.templates for w in words}
+        self.vocabulary = {w for _, _, key in self.templates for w in key}
         self.idf = {w: math.log((1 + n_docs) / (1 + df.get(w.decode(), 0))) for w in self.vocabulary}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.looked_up: list[int] = []
@@ -70,26 +55,33 @@ class Index:
             self.looked_up.append(len(rare))
             for i in rare:
                 self.postings[key[i]].append((n, self.key_at[n] + i))
-
-    def match(self, words: list[bytes], present: set[bytes]) -> dict[str, float]:
-        """Labels of the templates in place, with the share of the template's words that stand there."""
-        rare = present.intersection(self.postings)
-        votes: dict[tuple[int, int], set[int]] = defaultdict(set)
+        self.order = sorted(self.postings, key=lambda w: (-self.idf[w], w))
+
+    def match(self, words: list[bytes], have: set[bytes]) -> dict[str, float]:
+        """Labels of the templates in place, with the best share of the template's words that stand there."""
+        if have.isdisjoint(self.postings):
+            return {}
+        # templates that a word absent from the file rules out
+        out = {n for w in self.order if w not in have for n, _ in self.postings[w]}
+        open_ = {w: [p for p in self.postings[w] if p[0] not in out] for w in self.order if w in have}
+        open_ = {w: posts for w, posts in open_.items() if posts}
+        if not open_:
+            return {}
+        votes: dict[tuple[int, int], int] = defaultdict(int)
         for at, w in enumerate(words):
-            if w in rare:
-                for n, i in self.postings[w]:
-                    votes[n, at - i].add(i)
+            for n, i in open_.get(w, ()):
+                votes[n, at - i] += 1
         found: dict[str, float] = {}
-        for (n, start), hit in votes.items():
+        for (n, start), hits in votes.items():
             label, template, key = self.templates[n]
-            if len(hit) < self.looked_up[n]:
-                continue
             at = start + self.key_at[n]
-            if at < 0 or words[at : at + len(key)] != key:
+            if hits < self.looked_up[n] or at < 0 or words[at : at + len(key)] != key:
                 continue
-            same = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(template))
-            if same >= COVERAGE * len(template):
-                found[label] = max(found.get(label, 0.0), same / len(template))
+            more = int(SLACK * len(template))
+            region = Counter(words[max(0, start - more) : start + len(template) + more])
+            share = (Counter(template) & region).total() / len(template)
+            if share >= COVERAGE:
+                found[label] = max(found.get(label, 0.0), share)
         return found
 
 
@@ -99,7 +91,7 @@ def document_frequencies(docs: DataFrame, vocabulary: set[bytes], *, text_col: s
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[bytes] = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             count[b""] += batch.num_rows
             for text in raw_bytes(batch.column(0)):
                 if text:
@@ -107,7 +99,7 @@ def document_frequencies(docs: DataFrame, vocabulary: set[bytes], *, text_col: s
         if count:
             yield pa.RecordBatch.from_pydict({"word": [w.decode() for w in count], "n": list(count.values())})
 
-    rows = tune_batches(docs.select(F.col(text_col).alias("text"))).mapInArrow(run, "word string, n long")
+    rows = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n_docs"))
 
 
@@ -126,18 +118,18 @@ def license_labels(docs: DataFrame, templates: Iterable[tuple[str, str, str]] =
 
         def kernel(text: bytes) -> tuple:
             words = words_of(text)
-            present = index.vocabulary.intersection(words)
-            if not present:
-                return len(words), [], [], 0.0
-            flat, places = b" " + b" ".join(words) + b" ", []
+            have, flat, places = set(words), b"", []
             for phrase, label in phrases:
+                if not have.issuperset(phrase.split()):
+                    continue
+                flat = flat or b" " + b" ".join(words) + b" "
                 at, seen, last = flat.find(phrase), 0, 0
                 while at >= 0:
                     seen += flat.count(b" ", last, at)
                     last = at
                     places.append({"label": label, "word": seen})
                     at = flat.find(phrase, at + 1)
-            found = index.match(words, present)
+            found = index.match(words, have)
             return len(words), places, sorted(found), 1.0 if places else max(found.values(), default=0.0)
 
         return kernel

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semweave.llm.arrow_rows import extend_rows, map_text
+from semweave.llm.arrow_rows import extend_rows, free_name, map_text
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -94,13 +94,6 @@ def repeat_words(words: list[bytes], width: int = 3) -> int:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shout_words")
 
 
-def rule_ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: ``doc_id``, the measurements and ``fail_bits`` (bigint, bit i = i-th rule of RULES fails)."""
-    rows = map_text(docs, lambda: measure, [(m, pa.int64(), "long") for m in MEASURES], id_col=id_col, text_col=text_col)
-    bits = " + ".join(f"if({c}, {1 << i}L, 0L)" for i, c in enumerate(RULES.values()))
-    return rows.withColumn("fail_bits", F.expr(bits))
-
-
 def apply_policy(ledger: DataFrame, policy: Policy, out: str = "kept") -> DataFrame:
     """Add the policy's verdict; no rule is evaluated again."""
     return ledger.withColumn(out, F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long")) == 0)
@@ -124,11 +117,32 @@ def ablate(ledger: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
-def quality_filter(docs: DataFrame, policy: Policy = STRICT, *, text_col: str = "text") -> DataFrame:
-    """Whole rows of ``docs`` that the policy keeps, with all their columns.
+def fail_bits(names: dict[str, str]) -> Column:
+    """The ledger's bits, from measurements that stand in columns of other names."""
+    conditions = [re.sub(r"[a-z]\w*_[a-z_]+", lambda m: f"`{names[m[0]]}`", c) for c in RULES.values()]
+    return F.expr(" + ".join(f"if({c}, {1 << i}L, 0L)" for i, c in enumerate(conditions)))
+
+
+def rule_ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: ``doc_id``, the measurements and ``fail_bits`` (bigint, bit i = i-th rule of RULES fails)."""
+    rows = map_text(docs, lambda: measure, [(m, pa.int64(), "long") for m in MEASURES], id_col=id_col, text_col=text_col)
+    return rows.withColumn("fail_bits", fail_bits({m: m for m in MEASURES}))
+
+
+def with_ledger(docs: DataFrame, *, text_col: str = "text") -> tuple[DataFrame, str]:
+    """Whole rows with a ledger's entry (a struct of ``fail_bits`` and the measurements), and the name of its column.
 
     The measurements travel beside the row in one narrow pass: no join back, so repeated or null ids can't mix.
     """
-    rows = extend_rows(docs, lambda: measure, [(f"__{m}", pa.int64(), "long") for m in MEASURES], text_col=text_col)
-    failed = " or ".join(f"({re.sub(r'[a-z]\w*_[a-z_]+', lambda m: '`__' + m[0] + '`', RULES[r])})" for r in policy.rules)
-    return rows.where(f"not ({failed})").select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = {m: free_name(docs, f"ledger_{m}") for m in MEASURES}
+    rows = extend_rows(docs, lambda: measure, [(names[m], pa.int64(), "long") for m in MEASURES], text_col=text_col)
+    entry = F.struct(fail_bits(names).alias("fail_bits"), *(F.col(n).alias(m) for m, n in names.items()))
+    name = free_name(docs, "ledger")
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), entry.alias(name)), name
+
+
+def quality_filter(docs: DataFrame, policy: Policy = STRICT, *, text_col: str = "text") -> DataFrame:
+    """Whole rows of ``docs`` that the policy keeps, with all their columns: its mask on the bits of every rule."""
+    rows, name = with_ledger(docs, text_col=text_col)
+    kept = F.col(name)["fail_bits"].bitwiseAND(F.lit(policy.mask).cast("long")) == 0
+    return rows.where(kept).select(*(F.col(f"`{c}`") for c in docs.columns))

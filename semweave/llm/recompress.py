@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semweave.llm.arrow_rows import raw_bytes, tune_batches
+from semweave.llm.arrow_rows import raw_bytes
 from semweave.llm.shared import stage_table
 
 WINDOW = 35
@@ -262,7 +262,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, *, rounds: int = ROUND
 
     A word goes if it lies in a window of ``window`` words whose words also start anywhere else.
     """
-    rows = keyed(tune_batches(docs), id_col, text_col)
+    rows = keyed(docs, id_col, text_col)
     found = found_blocks(rows, window, rounds)
     named = found.where("not bare")
     shared = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("least"), F.max("block").alias("most"))

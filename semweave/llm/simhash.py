@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semweave.llm.arrow_rows import map_text, raw_bytes, tune_batches
+from semweave.llm.arrow_rows import map_text, raw_bytes
 from semweave.llm.components import connected_components
 from semweave.llm.shared import stage_table
 
@@ -297,7 +297,7 @@ def similar_links(texts: DataFrame, whole: DataFrame, least: float, width: int,
         need = F.broadcast(need)
     held = stage_table(whole.join(need, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.first("text").alias("text")), "near-texts")
     left, right = held.withColumnRenamed("text", "x"), held.select(F.col("c1").alias("l1"), F.col("c2").alias("l2"), F.col("text").alias("y"))
-    both = tune_batches(open_.join(left, ["c1", "c2"]).join(right, ["l1", "l2"]).select(F.col("c1").alias("a"), F.col("l1").alias("b"), "x", "y"))
+    both = open_.join(left, ["c1", "c2"]).join(right, ["l1", "l2"]).select(F.col("c1").alias("a"), F.col("l1").alias("b"), "x", "y")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,7 +344,7 @@ def crowd_links(texts: DataFrame, whole: DataFrame, member: DataFrame, led: Data
             sets = [np.unique(shingle_hashes(t or b"", width)).view(np.int64) for t in raw_bytes(batch.column(3))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["c1", "c2", "label", "hashes"])
 
-    sets = stage_table(tune_batches(held).mapInArrow(shingle, "c1 long, c2 long, label long, hashes array<bigint>"), "crowd-sets")
+    sets = stage_table(held.mapInArrow(shingle, "c1 long, c2 long, label long, hashes array<bigint>"), "crowd-sets")
     count = sets.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.count(F.lit(1)).alias("n")).toArrow()
     often = np.zeros(SLOTS, np.int64)
     often[count["slot"].to_numpy()] = count["n"].to_numpy()

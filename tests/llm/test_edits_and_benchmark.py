@@ -16,7 +16,7 @@ def test_op3(spark, rows, table_dir):
         new = re.sub("[0-9]{6,}", "0", text or "") + "\n"
         assert (got[i]["n_tokens"], got[i]["n_tokens_edited"]) == (len(encode(text or "")), len(encode(new)))
     long = max(got.values(), key=lambda r: r["n_leaves"])
-    assert long["n_leaves"] > 100 and long["n_reencoded"] <= 3
+    assert long["n_leaves"] > 10000 and long["n_reencoded"] <= 3
     assert queries.op3_edit_token_counts(spark, f"{table_dir}/empty").collect() == []
 
 
@@ -40,8 +40,35 @@ def test_random_edits(spark, rows):
     df = spark.createDataFrame(docs, "doc_id long, text string, edits array<struct<start:int,end:int,text:string>>")
     for r in edit_counts.count_edited(edit_counts.build_trees(df, extra=("edits",))).collect():
         assert r["text"] == want[r["doc_id"]]
-        assert r["n_tokens_edited"] == len(encode(want[r["doc_id"]])) == sum(r["leaf_tokens"])
-        assert sum(r["leaf_size"]) == len(want[r["doc_id"]])
+        assert r["n_tokens_edited"] == len(encode(want[r["doc_id"]])) == r["node_tokens"][1]
+        assert r["node_chars"][1] == len(want[r["doc_id"]])
+        for node in (r["node_chars"], r["node_tokens"]):
+            assert all(node[i] == node[2 * i] + node[2 * i + 1] for i in range(1, len(node) // 2))
+
+
+def test_few_leaves_of_any_script():
+    """An edit in the middle of a long text re-encodes a few pre-tokens, whatever the script, and again after an edit."""
+    words, encode = edit_counts.PreTokens(), vocabulary().encode_ordinary
+    for text in ("Привет, мир: длинный текст без конца. " * 3000, "汉字文本，没有空格。" * 3000, "plain words, and more. " * 3000):
+        pieces = words.split(text)
+        tree = edit_counts.SegmentTree.of_leaves(list(map(len, pieces)), words.count(pieces))
+        for at in (len(text) // 2, len(text) // 3):
+            text, n = edit_counts.apply_edits(text, tree, [(at, at + 2, "я q")], words)
+            assert n <= 8 and tree.n > 5000 and tree.tokens[1] == len(encode(text))
+
+
+def test_edits_in_mixed_scripts():
+    rng, words = random.Random(3), edit_counts.PreTokens()
+    bits = ["a", "b'll", " ", "  ", "\n", "1", "!", "é", "漢", "Привет", "'s", "'", "l", "don't", "\t", "x y z", "😀"]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 60)))
+        pieces = words.split(text)
+        tree = edit_counts.SegmentTree.of_leaves(list(map(len, pieces)), words.count(pieces))
+        for _ in range(3):
+            places = [rng.randint(0, len(text)) for _ in range(rng.randint(0, 5))]
+            edits = [{"start": a, "end": min(len(text), a + rng.choice([0, 0, 1, 2, 10])), "text": "".join(rng.choice(bits) for _ in range(rng.randint(0, 4)))} for a in places]
+            text, _ = edit_counts.apply_edits(text, tree, edit_counts.usable(edits, len(text)), words)
+            assert tree.tokens[1] == len(words.encode(text)) and tree.size[1] == len(text)
 
 
 def distance(probe, text):

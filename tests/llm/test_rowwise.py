@@ -1,7 +1,9 @@
 """Secret scan, quality ledger, BPE codec, licence scan, PII and shards against plain Python."""
 
 import hashlib
+import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -45,6 +47,38 @@ def test_secret_scan(spark, rows, table_dir):
     assert any("x7Kp9QzR4mWvT2yB8nLcD6fH" in t and "random" in r["spans"] for t, r in by_text(rows, found))
 
 
+def brute_assign(text):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    return [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+
+
+def test_overlapping_heads():
+    """Heads that begin inside another head, in every order."""
+    find, rng = secret_scan.make_finder(), random.Random(1)
+    base = lambda text: [f for f in find(text.encode()) if f[1] == 0]
+    assert base("secretoken=abcdefgh1") == [(5, 0, 20)]
+    bits = ["password", "passwd", "secret", "secre", "token", "oken", "api_key", "apikey", "api", "_key", "=", ":", " ", "'", '"', "abcdefgh1", "ab", "A", "T"]
+    for _ in range(20000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 9)))
+        assert base(text) == brute_assign(text), text
+
+
+def test_random_strings():
+    find, rng = secret_scan.make_finder(), random.Random(2)
+    lower, letters = string.ascii_lowercase, string.ascii_letters
+    spans_of = lambda text: [(a, b) for a, k, b in find(text.encode()) if k == 3]
+    for alphabet, n, least in ((lower, 32, 0.93), (letters, 40, 0.99), (letters + string.digits, 20, 0.99), (letters + string.digits + "+/", 40, 0.99)):
+        keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(500)]
+        assert sum(bool(spans_of(f"key {k} end")) for k in keys) >= least * 500
+    key = "x7Fq9LmZ2pQ8rT4vB1nK6wJ3"
+    path = "config/production/services/authentication/keys/"
+    assert spans_of(path + key) == [(len(path), len(path) + len(key))]
+    words = "/".join(["internationalization", "configuration", "authentication"] * 200)
+    assert spans_of(f"{words}/{key}/{words}") == [(len(words) + 1, len(words) + 1 + len(key))]
+    for clean in (words, "123e4567-e89b-12d3-a456-426614174000", "sha256/" + "0f" * 32, "4111111111111111", "Donaudampfschifffahrtsgesellschaftskapitaen", "get_http_response_code_from_server"):
+        assert spans_of(f"see {clean} there") == []
+
+
 def test_redact_secrets(docs, rows):
     out = secret_scan.redact_secrets(docs)
     assert out.columns == docs.columns
@@ -120,19 +154,53 @@ def test_licenses(spark, rows, table_dir):
             assert {"mit", "apache-2.0", "reserved"} <= set(r["labels"].split(","))
 
 
-def test_bundled_licenses():
-    """Every template in one file is found, whatever else stands there."""
-    index = license_scan.Index(license_scan.TEMPLATES, {}, 1000)
-
-    def labels(*texts):
-        words = license_scan.words_of(" and also ".join(texts).encode())
-        return set(index.match(words, index.vocabulary.intersection(words)))
-
-    for label, template, _ in license_scan.TEMPLATES:
-        for other, second, _ in license_scan.TEMPLATES:
-            assert {label, other} <= labels(template, second)
-    every = labels(*(t for _, t, _ in license_scan.TEMPLATES))
-    assert every == {label for label, _, _ in license_scan.TEMPLATES} and len(every) == 14
+def brute_labels(words):
+    """Label -> best share, by looking for every key phrase at every place."""
+    found = {}
+    for label, template, key in license_scan.TEMPLATES:
+        template, key = (license_scan.words_of(x.encode()) for x in (template, key))
+        k = next(i for i in range(len(template)) if template[i : i + len(key)] == key)
+        for at in range(len(words)):
+            if words[at : at + len(key)] == key:
+                slack = int(license_scan.SLACK * len(template))
+                region = list(words[max(0, at - k - slack) : at - k + len(template) + slack])
+                same = 0
+                for w in template:
+                    if w in region:
+                        region.remove(w)
+                        same += 1
+                if same >= license_scan.COVERAGE * len(template):
+                    found[label] = max(found.get(label, 0), same / len(template))
+    return found
+
+
+def test_template_labels():
+    """Any mixture of templates, changed, cut short and beside one another, against brute force."""
+    index, rng = license_scan.Index(license_scan.TEMPLATES, {"license": 90, "software": 50}, 1000), random.Random(7)
+    hits = 0
+    for _ in range(300):
+        words = []
+        for _, template, _ in rng.sample(license_scan.TEMPLATES, rng.randint(1, 4)):
+            own = license_scan.words_of(template.encode())
+            own = own[rng.choice([0, 0, 1]) : len(own) - rng.choice([0, 0, 1])]
+            for _ in range(rng.choice([0, 1, 4])):
+                own[rng.randrange(len(own))] = b"other"
+            words += [*own, *[b"filler"] * rng.randint(0, 5)]
+        got = index.match(words, set(words))
+        assert got == pytest.approx(brute_labels(words))
+        hits += len(got)
+    assert hits > 300
+    every = [w for _, t, _ in license_scan.TEMPLATES for w in license_scan.words_of(t.encode())]
+    assert set(index.match(every, set(every))) == {label for label, _, _ in license_scan.TEMPLATES}
+
+
+def test_base_phrases_alone(spark):
+    """Base phrases in texts without any template's words, and with other templates."""
+    docs = spark.createDataFrame([(1, "All rights reserved."), (2, "Copyright 2020 X. All Rights Reserved"), (3, "CC BY cc by"), (4, "general public"), (5, None)], "doc_id long, text string")
+    for more in ({}, {"templates": [("own", "my very own terms", "own terms")]}):
+        got = {r["doc_id"]: r for r in license_scan.license_labels(docs, **more).collect()}
+        assert {i: [(p["label"], p["word"]) for p in r["places"]] for i, r in got.items()} == {1: [("reserved", 0)], 2: [("reserved", 3)], 3: [("cc-by", 0), ("cc-by", 2)], 4: [], 5: []}
+        assert [got[i]["score"] for i in range(1, 6)] == [1, 1, 1, 0, 0]
 
 
 def luhn(s):
@@ -189,6 +257,28 @@ def test_shards_are_near_equal(spark):
     assert len(sizes) == 24 and all(abs(v - mean) < 0.03 * mean for v in sizes.values())
 
 
+def sums(docs):
+    from semweave.llm import kd_shards
+
+    found = kd_shards.shard_by_bytes(docs, 24).collect()
+    sizes, slots = Counter(), {}
+    for r in found:
+        sizes[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(found) == docs.count() and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    mean = sum(sizes.values()) / 24
+    return [sizes[i] / mean for i in range(24)]
+
+
+def test_repeated_rows_are_cut(spark):
+    """Equal rows, with one id or none, are dealt like others: no shard is empty or heavy."""
+    own = spark.range(1000).selectExpr("id as doc_id", "sha2(cast(id as string), 256) as text", "'x' as source", "'en' as lang")
+    same = spark.range(3000).selectExpr("7L as doc_id", "repeat('same ', 54) as text", "'x' as source", "'en' as lang")
+    none = spark.range(1000).selectExpr("cast(null as bigint) as doc_id", "cast(null as string) as text", "'x' as source", "'en' as lang")
+    assert all(abs(x - 1) < 0.02 for x in sums(own.union(same)))
+    assert all(abs(x - 1) < 0.03 for x in sums(none))
+
+
 def test_equal_texts_share_a_shard(spark):
     from semweave.llm import kd_shards
 
