@@ -90,7 +90,8 @@ def extend_rows(
             out = list(zip(*(kernel(texts) if batched else map(kernel, texts)), strict=True))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, t) for v, t in zip(out, types, strict=True))], names=names)
 
-    return docs.mapInArrow(run, schema)
+    # names of the kernel's input are its own: a user's may hold anything
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, schema)
 
 
 class CodePoints:

@@ -4,21 +4,27 @@ A benchmark item is cut into overlapping probes, one from each word and each ``S
 ``PROBE`` characters from the start of a word, and any of ``PROBE + STRIDE - 1``, holds a whole probe. A probe of m
 characters that stands in a document with at most e edits shares at least m - q + 1 - q e of its q-grams with it, all on
 diagonals (place in the document less place in the item) at most e apart; q is ``Q``, or less where that bound would not be
-positive. So q-grams are counted in overlapping diagonal bands twice as wide, first of the item, then of its probes; bands
-that reach the bound are retained, and an alignment verifies them.
+positive.
 
-Texts are compared in lower case (A-Z) with white space collapsed. The benchmark, not the corpus, is sent to the tasks,
-in blocks of bounded size: a larger benchmark takes more passes over the documents, not more memory.
+One pass over the documents, whatever the benchmark's size, finds those that can hold a passage at all: the q-grams of all
+items stand in a Bloom filter of bounded size, and some stretch as long as a probe with its edits must have as many of them
+as the bound says. Only these suspects, and the items in blocks of bounded size, are exchanged: every block meets every part
+of the suspects in one task. There q-grams are counted in overlapping diagonal bands twice as wide as the edits, first of the
+item, then of its probes; bands that reach the bound are retained, and an alignment verifies them.
 
-Defined cases: null and empty texts and items match nothing; an item of under ``Q`` characters is not searched; repeated rows
-and items give repeated hits; documents of any length are searched whole.
+Texts are compared in lower case (A-Z) with white space collapsed. Items stay in tables; what reaches the driver is the
+filter, 64 MB at most. A benchmark that fills it (over 16 million characters) makes more documents suspects, and costs more
+alignments, but changes no result.
+
+Defined cases: null and empty texts and items match nothing; an item of under ``Q`` characters has to stand exactly, as whole
+words; repeated rows and items give repeated hits; documents of any length are searched whole.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -26,15 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semweave.llm.arrow_rows import extend_rows, map_text
+from semweave.llm.arrow_rows import extend_rows, free_name, raw_bytes, slices
+from semweave.llm.shared import stage_table
 
 Q = 12
 PROBE = 60
 STRIDE = 10
 #: Edits that a probe may have, as a share of its length.
 EDITS = 0.05
-#: Bytes of benchmark text that go to the tasks at once.
-BLOCK_BYTES = 8_000_000
+#: Bytes of benchmark text, and of suspects, that meet in a task.
+BLOCK_BYTES, SUSPECT_BYTES = 8_000_000, 16_000_000
+#: Bits of the filter for a character of the benchmark, hashes of a q-gram, and the filter's largest size as a power of 2.
+BITS_A_GRAM, HASHES, MOST_BITS = 32, 4, 29
 #: Bytes of documents that are searched together.
 TOGETHER = 4_000_000
 FILTER_BITS = 22
@@ -65,6 +74,25 @@ def slots(code: np.ndarray) -> np.ndarray:
     return (code * U(0x165667B19E3779F9)) >> U(64 - FILTER_BITS)
 
 
+def lemma(size: np.ndarray, edits: float) -> tuple[np.ndarray, ...]:
+    """For items of these sizes: characters of a probe, its edits, q, and the q-grams that it shares at least."""
+    long = np.minimum(size, PROBE)
+    e = (long * edits).astype(np.int64)
+    q = np.maximum(1, np.minimum(Q, long // (e + 1)))
+    return long, e, q, np.maximum(1, long - q + 1 - q * e)
+
+
+IN_WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
+
+
+def whole_words(data: bytes, at: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Which stretches of ``data`` begin and end where a word may."""
+    inside = np.append(IN_WORD[np.frombuffer(data, np.uint8)], False)
+    cut_before = inside[at] & (at > 0) & inside[np.maximum(at - 1, 0)]
+    stop = np.minimum(at + long, len(data))
+    return ~cut_before & ~(inside[stop - 1] & inside[stop])
+
+
 class Grams:
     """Postings of the q-grams, for one q, of items that lie in one text: each place of an item once."""
 
@@ -100,7 +128,7 @@ class Probes:
         texts, begin, start, owner, at_flat = [], [], [], [], 0
         for item, raw in items:
             text = normal(raw)
-            if len(text) < Q:
+            if not text:
                 continue
             last = max(0, len(text) - PROBE)
             words = [0, *(m.end() for m in re.finditer(b" ", text) if m.end() < last), last]
@@ -115,11 +143,8 @@ class Probes:
         self.begin, self.start, self.owner = np.array(begin, np.int64), np.array(start, np.int64), np.array(owner, np.int64)
         size = np.array([len(t) for t in texts], np.int64)
         # the probes of one item are equally long
-        self.long = np.minimum(size, PROBE)
-        self.edits = (self.long * edits).astype(np.int64)
+        self.long, self.edits, self.q, self.bound = lemma(size, edits)
         self.budget = self.edits[self.owner]
-        self.q = np.maximum(1, np.minimum(Q, self.long // (self.edits + 1)))
-        self.bound = np.maximum(1, self.long - self.q + 1 - self.q * self.edits)
         flat = (b"\x00" * PROBE).join(texts)
         self.grams = [Grams(flat, self.begin[self.q == q], size[self.q == q], int(q)) for q in np.unique(self.q)]
         self.widest = int(self.edits.max(initial=0))
@@ -147,6 +172,9 @@ class Probes:
         for grams in self.grams:
             at, place = grams.meet(data)
             item = np.searchsorted(self.begin, place, side="right") - 1
+            if (self.long[item] < Q).any():
+                keep = (self.long[item] >= Q) | whole_words(data, at, self.long[item])
+                at, place, item = at[keep], place[keep], item[keep]
             diagonal = at - place + int(self.start[-1]) + PROBE
             wide = 2 * (2 * self.edits[item] + 1)
             for shift in (0, 1):  # bands overlap by half
@@ -217,50 +245,156 @@ def edits_within(probe: bytes, region: bytes, budget: int) -> int | None:
     return best if best <= budget else None
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int, id_col: str, text_col: str) -> list[list[tuple[int | None, bytes]]]:
-    """The items, in blocks of bounded size. The benchmark is a stated set of queries; a block is what a task holds."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
-    out: list[list[tuple[int | None, bytes]]] = [[]]
-    size = 0
-    for r in items.toLocalIterator():
-        raw = r["text"].encode()
-        if size and size + len(raw) > block_bytes:
-            out.append([])
-            size = 0
-        out[-1].append((r["item_id"], raw))
-        size += len(raw)
-    return [b for b in out if b]
+def gram_hashes(code: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the q-grams of one kind of items; the filter's places are sums of them."""
+    x = (code ^ U(kind * 0x9E3779B97F4A7C15 % (1 << 64))) * U(0xD6E8FEB86659FD93)
+    x ^= x >> U(32)
+    return x, ((x * U(0xA0761D6478BD642F)) >> U(29)) | U(1)
+
 
+class GramFilter:
+    """A Bloom filter of the q-grams of all items, by kind: (characters of a probe, edits, q, bound), at most one a length."""
 
-HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("n_probes", pa.int32()), ("edits", pa.int32())]))
-HITS_DDL = "array<struct<item_id:bigint,n_probes:int,edits:int>>"
+    def __init__(self, bits: np.ndarray, kinds: list[tuple[int, int, int, int]]):
+        self.bits, self.kinds, self.shift = bits, kinds, U(64 - (len(bits) * 64).bit_length() + 1)
 
+    def has(self, code: np.ndarray, kind: int) -> np.ndarray:
+        x, step = gram_hashes(code, kind)
+        at = np.arange(len(code))
+        for _ in range(HASHES):
+            place = x >> self.shift
+            held = (self.bits[place >> U(6)] >> (place & U(63))) & U(1) == 1
+            at, x, step = at[held], x[held] + step[held] * U(0x9E3779B97F4A7C15), step[held]
+        out = np.zeros(len(code), bool)
+        out[at] = True
+        return out
+
+    def suspects(self, texts: list[bytes]) -> list[bool]:
+        """Texts that can hold a probe."""
+        found = np.zeros(len(texts), bool)
+        low = 0
+        while low < len(texts):
+            high, size = low, 0
+            while high < len(texts) and (high == low or size < TOGETHER):
+                size += len(texts[high])
+                high += 1
+            gap = b"\x00" * (3 * PROBE)
+            shown = [normal(t) for t in texts[low:high]]
+            begin = np.cumsum([0, *(len(t) + len(gap) for t in shown)])
+            data = gap.join([*shown, b""])
+            code = {q: codes(data, q) for q in {k[2] for k in self.kinds}}
+            for long, edits, q, bound in self.kinds:
+                held = self.has(code[q], long)
+                if long < Q:
+                    at = np.flatnonzero(held)
+                    held[at] = whole_words(data, at, np.full(len(at), long))
+                width = long + edits - q + 1
+                sums = np.concatenate(([0], np.cumsum(held, dtype=np.int64)))
+                at = np.flatnonzero(sums[np.minimum(np.arange(len(held)) + width, len(held))] - sums[:-1] >= bound) if bound > 1 else np.flatnonzero(held)
+                found[low + np.unique(np.searchsorted(begin, at, side="right") - 1)] = True
+            low = high
+        return found.tolist()
+
+
+def benchmark_items(benchmark: DataFrame, block_bytes: int, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
+    """The items (item_id, text, block), written; their bytes, and the number of blocks."""
+    items = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("item_id"), F.col(f"`{text_col}`").alias("text")).where(F.length(F.trim("text")) > 0)
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = max(1, math.ceil(size / block_bytes))
+    own = F.pmod(F.xxhash64("item_id", "text", F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int")
+    return stage_table(items.withColumn("block", own), "items"), size, n_blocks
+
+
+def gram_filter(items: DataFrame, size: int, edits: float) -> GramFilter:
+    """The filter of all items. Its bits are made in the tasks and joined by OR."""
+    n_bits = min(MOST_BITS, max(16, math.ceil(math.log2(max(2, size * BITS_A_GRAM)))))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            places = []
+            texts = [t for t in map(normal, raw_bytes(batch.column(0))) if t]
+            by_kind: dict[int, list[bytes]] = {}
+            for t in texts:
+                by_kind.setdefault(min(len(t), PROBE), []).append(t)
+            for long, some in by_kind.items():
+                q = int(lemma(np.array([long]), edits)[2][0])
+                for t in some:
+                    x, step = gram_hashes(codes(t, q), long)
+                    for _ in range(HASHES):
+                        places.append(x >> U(64 - n_bits))
+                        x = x + step * U(0x9E3779B97F4A7C15)
+            if not places:
+                continue
+            at = np.unique(np.concatenate(places))
+            word, first = np.unique(at >> U(6), return_index=True)
+            mask = np.bitwise_or.reduceat(U(1) << (at & U(63)), first)
+            kinds = np.array(sorted(by_kind), np.int64)
+            columns = [np.concatenate((word.astype(np.int64), -1 - kinds)), np.concatenate((mask.view(np.int64), np.zeros(len(kinds), np.int64)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "mask"])
+
+    # a row of 16 bytes for each word of the filter at most, and one a length of probes
+    rows = items.select("text").mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    word, mask = (rows[c].to_numpy() for c in ("word", "mask"))
+    bits = np.zeros(1 << (n_bits - 6), U)
+    bits[word[word >= 0]] = mask[word >= 0].view(U)
+    kinds = np.sort(-1 - word[word < 0])
+    return GramFilter(bits, [tuple(map(int, k)) for k in zip(*lemma(kinds, edits), strict=True)])
+
+
+def with_suspicion(docs: DataFrame, grams: GramFilter, name: str, text_col: str) -> DataFrame:
+    """All rows with a column that says whether a passage may stand in the text. The filter goes to every executor once."""
+    sent = docs.sparkSession.sparkContext.broadcast((grams.bits, grams.kinds))
 
-def searcher(block: list[tuple[int | None, bytes]], edits: float) -> Callable[[], Callable[[list[bytes]], list[tuple]]]:
     def make() -> Callable[[list[bytes]], list[tuple]]:
-        probes = Probes(block, edits)
-        return lambda texts: [(hits,) for hits in probes.search(texts)]
+        suspects = GramFilter(*sent.value).suspects
+        return lambda texts: [(x,) for x in suspects(texts)]
+
+    return extend_rows(docs, make, [(name, pa.bool_(), "boolean")], text_col=text_col, batched=True)
+
+
+def verified(suspects: DataFrame, items: DataFrame, n_blocks: int, edits: float) -> DataFrame:
+    """(row, item_id, n_probes, edits) of the ``suspects`` (row, text), a written table: every part of them meets every block."""
+    size = suspects.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(math.ceil(size / SUSPECT_BYTES), suspects.sparkSession.sparkContext.defaultParallelism)
+    left = suspects.select("row", "text", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    right = items.select("item_id", "text", "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    schema = pa.schema([("row", pa.int64()), ("item_id", pa.int64()), ("n_probes", pa.int32()), ("edits", pa.int32())])
+
+    def search(some: pa.Table, block: pa.Table) -> pa.Table:
+        out: dict[str, list] = {n: [] for n in schema.names}
+        if some.num_rows and block.num_rows:
+            column = lambda t, c: raw_bytes(t[c].combine_chunks())
+            probes = Probes(list(zip(block["item_id"].to_pylist(), column(block, "text"), strict=True)), edits)
+            for row, hits in zip(some["row"].to_pylist(), probes.search(column(some, "text")), strict=True):
+                for h in hits:
+                    for n, v in zip(schema.names, (row, h["item_id"], h["n_probes"], h["edits"]), strict=True):
+                        out[n].append(v)
+        return pa.table(out, schema=schema)
 
-    return make
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(search, "row long, item_id long, n_probes int, edits int")
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, *, edits: float = EDITS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
 ) -> DataFrame:
     """(doc_id, item_id, n_probes, edits): documents in which a passage of a benchmark item stands."""
-    parts = [
-        map_text(docs, searcher(block, edits), [("hits", HITS, HITS_DDL)], id_col=id_col, text_col=text_col, batched=True).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
-        for block in benchmark_blocks(benchmark, block_bytes, item_col, "text")
-    ]
-    if not parts:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_probes int, edits int")
-    return reduce(DataFrame.union, parts)
+    items, size, n_blocks = benchmark_items(benchmark, block_bytes, item_col, "text")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    found = with_suspicion(rows, gram_filter(items, size, edits), "suspect", "text").where("suspect")
+    suspects = stage_table(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "suspects")
+    hits = verified(suspects.select("row", "text"), items, n_blocks, edits)
+    return suspects.select("row", "doc_id").join(hits, "row").select("doc_id", "item_id", "n_probes", "edits")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, edits: float = EDITS, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
     """Whole rows of ``docs`` in which no passage of the benchmark stands."""
-    out = docs
-    for block in benchmark_blocks(benchmark, block_bytes, "item_id", "text"):
-        rows = extend_rows(out, searcher(block, edits), [("__hits", HITS, HITS_DDL)], text_col=text_col, batched=True)
-        out = rows.where(F.size("__hits") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
-    return out
+    items, size, n_blocks = benchmark_items(benchmark, block_bytes, "item_id", "text")
+    name = free_name(docs, "suspect")
+    rows = with_suspicion(docs, gram_filter(items, size, edits), name, text_col)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # the documents are filtered twice, which costs less than writing all of them
+    suspects = rows.where(F.col(name)).select(F.monotonically_increasing_id().alias("row"), F.struct(*columns).alias("whole"))
+    suspects = stage_table(suspects, "suspects")
+    hits = verified(suspects.select("row", F.col("whole")[text_col].alias("text")), items, n_blocks, edits)
+    cleared = suspects.join(hits, "row", "left_anti").select("whole.*")
+    return rows.where(~F.col(name)).select(*columns).unionByName(cleared)

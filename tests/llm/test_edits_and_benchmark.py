@@ -103,8 +103,8 @@ def test_decontamination(spark):
     for i, text in docs:
         shown = decontaminate.normal((text or "").encode())
         for p, probe in enumerate(probes.text):
-            d = distance(probe, shown)
-            if d <= probes.budget[p]:
+            d = decontaminate.edits_within(probe, shown, 5 * len(probe) // 100)  # against the plain distance: test_edits_within
+            if d is not None:
                 own = want.setdefault((i, probes.item[p]), {})
                 own[p] = d
     for block in (decontaminate.BLOCK_BYTES, 300):
@@ -140,6 +140,52 @@ def test_short_passages():
     assert found_in([item], f"{before} {after}") == set()
 
 
+def test_short_items(spark):
+    """Items under 12 characters stand exactly and as whole words; others need no boundary."""
+    assert found_in(["2+2=?", "yes", "a b c"], "so 2+2=? eyes yesterday, a b cd") == {0}
+    assert found_in(["2+2=?", "yes", "a b c"], "12+2=?; Yes! x a  b\nc") == {1, 2}
+    bench = spark.createDataFrame([(1, "2+2=?"), (2, " Yes "), (3, "exactly twelve"), (4, None), (5, " \n")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "what is 2+2=? now"), (2, "12+2=?"), (3, "eyes"), (4, "YES"), (5, "inexactly twelvefold"), (6, None), (None, "yes"), (7, "")], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in got) == [(0, 2), (1, 1), (4, 2), (5, 3)]
+    left = decontaminate.decontaminate(docs, bench).collect()
+    assert sorted(r["doc_id"] for r in left) == [2, 3, 6, 7]
+
+
+def test_recall_of_edited_passages():
+    """Passages of 100 characters with evenly random edits: an independent count of what has a probe within its budget."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    items = [prose(60) for _ in range(40)]
+    for edits, least in ((2, 1.0), (4, 0.95), (5, 0.9)):
+        texts = []
+        for k in range(80):
+            at = items[k // 2].index(" ", 20 * (k % 2)) + 1
+            passage = list(items[k // 2][at : at + 100])
+            for i in rng.sample(range(100), edits):
+                passage[i] = "#"
+            texts.append(f"{prose(20)} {''.join(passage)} {prose(20)}".encode())
+        found = decontaminate.Probes([(i, t.encode()) for i, t in enumerate(items)]).search(texts)
+        assert sum(any(h["item_id"] == k // 2 for h in hits) for k, hits in enumerate(found)) >= least * 80, edits
+
+
+def test_full_filter(spark, monkeypatch):
+    """A filter that is far too small only makes more suspects."""
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 8)
+    rng = random.Random(1)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    items = [prose(30) for _ in range(8)]
+    docs = spark.createDataFrame([(k, f"{prose(30)} {items[k]} {prose(9)}" if k < 8 else prose(60)) for k in range(30)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench, block_bytes=500).collect()} == {(k, k) for k in range(8)}
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "some text", True, "x", 1.5)], "doc_id long, text string, suspect boolean, `row` string, `whole.text` double")
+    bench = spark.createDataFrame([(1, "other text")], "item_id long, text string")
+    assert decontaminate.decontaminate(docs, bench).collect() == docs.collect()
+
+
 def test_edits_share_is_honoured():
     """As many edits as the share allows, evenly spread, whatever the share."""
     rng = random.Random(4)
