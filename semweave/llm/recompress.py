@@ -14,7 +14,7 @@ next to one another with one choice are a block. Symbols are counted over the co
 * otherwise, and for windows without a certain symbol, the windows themselves are counted, by 128-bit hashes.
 
 So colliding names cost work but change nothing. Texts are exchanged once, to meet what was found about them; equal texts
-share it, by a 96-bit key.
+share it, by a key of two 64-bit hashes, and rows of one text can be split among tasks.
 
 Defined cases: a null or empty text has no words; with fewer words than a window nothing is removed; a window equal to
 another of its own document counts as a repeat, overlapping or not; repeated rows and null ids are rows like others.
@@ -197,9 +197,9 @@ def range_max(n: int, first: np.ndarray, last: np.ndarray, value: np.ndarray) ->
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id``, ``text`` and the key of the text, (c1, c2)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    return rows.withColumns({"c1": F.xxhash64("text"), "c2": F.crc32(F.col("text").cast("binary")).cast("long")})
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
+    return rows.withColumns({"c1": F.xxhash64("text"), "c2": F.xxhash64(F.lit(1), "text")})
 
 
 def found_blocks(rows: DataFrame, window: int, rounds: int) -> DataFrame:
@@ -237,6 +237,15 @@ def window_hashes(names: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
     return Rolling(names, BASES[0])(start, start + window).view(np.int64), Rolling(mix(names + ODD_3), BASES[1])(start, start + window).view(np.int64)
 
 
+def equal_windows(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first window of each group of equal ones, and each window's group."""
+    _, first, group = np.unique(h1, return_index=True, return_inverse=True)
+    if (h2 != h2[first][group]).any():  # two windows with one h1
+        _, first, group = np.unique(np.stack((h1, h2)), axis=1, return_index=True, return_inverse=True)
+        group = group.ravel()
+    return first, group
+
+
 def lists_of(column: pa.Array) -> list[np.ndarray]:
     """The rows of a list column as arrays; a null row is empty."""
     values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
@@ -263,20 +272,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, *, rounds: int = ROUND
     A word goes if it lies in a window of ``window`` words whose words also start anywhere else.
     """
     rows = keyed(docs, id_col, text_col)
-    found = found_blocks(rows, window, rounds)
+    found = stage_table(found_blocks(rows, window, rounds), "blocks")  # the texts are parsed once
     named = found.where("not bare")
     shared = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("least"), F.max("block").alias("most"))
-    # written: the join below then exchanges both sides, so that Spark can split the rows of a frequent name
+    # written, as are the sides of the joins below: they then exchange both sides, and Spark can split the rows of a
+    # frequent name, or of a frequent text
     shared = stage_table(shared.where("n > 1").select("name", F.expr("least = most").alias("sure")), "shared-names")
     mark = "shiftleft(cast(p as bigint), 32) + shiftleft(cast(m as bigint), 1) + {} as mark"
     marks = named.join(shared, "name").selectExpr("c1", "c2", mark.format("if(sure, 1L, 0L)"))
     marks = marks.unionByName(found.where("bare").selectExpr("c1", "c2", mark.format("0L")))
-    per_text = marks.groupBy("c1", "c2").agg(F.collect_set("mark").alias("marks"))
+    per_text = stage_table(marks.groupBy("c1", "c2").agg(F.collect_set("mark").alias("marks")), "marks")
     met = rows.join(per_text, ["c1", "c2"], "left").select("doc_id", "text", "c1", "c2", "marks")
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], [], []]
+            parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
             marks = lists_of(batch.column(4))
             todo = [i for i, m in enumerate(marks) if ((m & 1) == 0).any()]
             if not todo:
@@ -284,17 +294,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, *, rounds: int = ROUND
             texts, c1, c2 = batch.column(1), batch.column(2).to_numpy(), batch.column(3).to_numpy()
             for i in todo:
                 h1, h2 = window_hashes(word_names(texts[i].as_py().encode().split()), window)
-                pick = windows_of(marks[i], False, len(h1))
-                one, first, n = np.unique(h1[pick], return_index=True, return_counts=True)
-                for part, x in zip(parts, (one, h2[pick][first], np.full(len(n), c1[i]), np.full(len(n), c2[i]), n), strict=True):
+                pick = np.flatnonzero(windows_of(marks[i], False, len(h1)))
+                first, group = equal_windows(h1[pick], h2[pick])
+                at = pick[first]
+                for part, x in zip(parts, (h1[at], h2[at], np.full(len(at), c1[i]), np.full(len(at), c2[i]), at, np.bincount(group, minlength=len(at))), strict=True):
                     part.append(x)
             if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in parts], names=["h1", "h2", "c1", "c2", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in parts], names=["h1", "h2", "c1", "c2", "at", "n"])
 
-    seen = met.mapInArrow(counted, "h1 long, h2 long, c1 long, c2 long, n long")
+    seen = met.mapInArrow(counted, "h1 long, h2 long, c1 long, c2 long, at long, n long")
     again = seen.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
-    hits = seen.select("h1", "h2", "c1", "c2").join(again, ["h1", "h2"]).groupBy("c1", "c2").agg(F.collect_set("h1").alias("hits"))
-    known = per_text.join(hits, ["c1", "c2"], "left")
+    # the first place of each repeated window in the text: its other places there are found again by both hashes
+    hits = seen.select("h1", "h2", "c1", "c2", "at").join(again, ["h1", "h2"]).groupBy("c1", "c2").agg(F.collect_set("at").alias("hits"))
+    known = stage_table(per_text.join(hits, ["c1", "c2"], "left"), "known")
     last = rows.join(known, ["c1", "c2"], "left").select("doc_id", "text", "c1", "c2", "marks", "hits")
 
     def cleared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,8 +321,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, *, rounds: int = ROUND
                     n = len(words) - window + 1
                     starts = windows_of(marks, True, n)
                     if len(hits):
-                        h1, _ = window_hashes(word_names(words), window)
-                        starts |= windows_of(marks, False, n) & np.isin(h1, hits)
+                        h1, h2 = window_hashes(word_names(words), window)
+                        pick = np.flatnonzero(windows_of(marks, False, n))
+                        first, group = equal_windows(h1[pick], h2[pick])
+                        starts[pick[np.isin(pick[first], hits)[group]]] = True
                     at = np.flatnonzero(starts)
                     hit = np.zeros(len(words) + 1, np.int64)
                     np.add.at(hit, at, 1)
