@@ -1,13 +1,18 @@
-"""Personal data: fixed patterns, and information-theoretic sanitisation of the terms around them. DataFrame functions only.
+"""Personal data: fixed patterns, and information-theoretic sanitisation of revealing terms. DataFrame functions only.
 
-Protected entities are the values that the patterns find. Terms (words of letters) that stand near a mention are compared
-with the whole corpus: with n_te documents where term t stands near entity e, n_t documents with t and n_e with e, t
-reveals e if ``n_te >= MIN_SUPPORT``, P(e|t) = n_te / n_t >= ``MIN_DISCLOSURE`` and the pointwise mutual information
-log2(N n_te / (n_t n_e)) >= ``MIN_BITS``. Such a term is reported beside the mention (kind ``term``) and removed or
-generalised with it.
+Protected entities are the values that the patterns find. Terms (words of letters) of the documents with an entity are
+compared with the whole corpus: with n_te documents that hold term t and entity e, n_t with t and n_e with e out of N, t
+reveals e if they meet in texts that are no near copies of one another, P(e|t) = n_te / n_t >= ``MIN_DISCLOSURE`` and the
+pointwise mutual information log2(N n_te / (n_t n_e)) >= ``MIN_BITS``. Every occurrence of such a term, in every document,
+is reported (kind ``term``) and removed, whether the entity is spelled out there or not.
+
+Copies are no evidence: documents with one entity that share one of ``FEATURES`` features of ``HASHES`` least shingle hashes
+are one class (texts of similarity 0.8 do with a probability of 0.9998, those of 0.1 with one of 0.012), and a term needs two
+classes.
 
 Defined cases: a null or empty text has no spans; rows are kept apart by a number of their own, so null or repeated ids
-and repeated rows are safe; matches of one kind don't overlap, those of different kinds may; texts are read whole.
+and repeated rows are safe; matches of one kind don't overlap, those of different kinds may, but a term inside a match of a
+pattern is not reported; texts are read whole.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semweave.llm.shared import stage_table
+from semweave.llm.shared import broadcast_if_small, stage_table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "term")
@@ -28,11 +33,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"\p{L}{4,}+"
-#: Code points on either side of a mention in which terms are looked at.
-NEAR = 60
-MIN_SUPPORT = 2
 MIN_DISCLOSURE = 0.5
 MIN_BITS = 3.0
+#: Copies are told by this many features of so many least hashes of three-word shingles.
+FEATURES, HASHES = 12, 3
 
 
 def digits(match: Column) -> Column:
@@ -69,7 +73,7 @@ def of_span(kind: str):
 NO_SPANS = "cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)"
 
 
-def placed(kind: str, text: Column, pattern: str, matches: Column) -> Column:
+def placed(kind: str, text: Column, pattern: str | Column, matches: Column) -> Column:
     """Spans of ``matches`` (all matches of ``pattern`` in ``text``): the pieces between them give their places."""
     pieces = F.split(text, pattern, -1)
     pairs = F.arrays_zip(F.transform(F.slice(pieces, F.lit(1), F.size(matches)), F.length).alias("gap"), matches.alias("value"))
@@ -87,7 +91,7 @@ def placed(kind: str, text: Column, pattern: str, matches: Column) -> Column:
 
 def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id``, ``text`` and ``found``: the spans of the fixed patterns that pass, by start, then kind."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     hint = {"email": F.col("text").contains("@"), "phone": F.col("text").contains("+"), "ip": F.lit(True), "card": F.lit(True)}
     for kind, pattern in PATTERNS.items():
         hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
@@ -107,25 +111,6 @@ def in_order(spans: Column, kinds: tuple[str, ...]) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["s"])
 
 
-def moved(found: Column, base: Column, size: Column) -> Column:
-    """Words of a window that begins at ``base``, by their places in the text, without those at its edges."""
-    whole = F.filter(found, lambda t: (t["start"] > 0) & (t["end"] < size))
-    return F.transform(
-        whole, lambda t: F.struct(F.lower(t["value"]).alias("term"), (t["start"] + base).cast("int").alias("start"), (t["end"] + base).cast("int").alias("end"))
-    )
-
-
-def terms_near(text: Column, span: Column) -> Column:
-    """Terms within NEAR code points of a span, outside it, with their places; words cut off by the window don't count."""
-    sides = []
-    for start, end in ((F.greatest(span["start"] - NEAR, F.lit(0)), span["start"]), (span["end"], span["end"] + NEAR)):
-        side = F.substring(text, start + 1, end - start)
-        hits = F.regexp_extract_all(side, F.lit(TERM), F.lit(0))
-        found = placed("term", side, TERM, hits)
-        sides.append(moved(found, start, end - start))
-    return F.concat(*sides)
-
-
 def entity(span: Column) -> Column:
     """What is protected: one value in all its spellings."""
     return F.when(span["kind"].isin("card", "phone"), F.concat(span["kind"], F.lit(":"), digits(span["value"]))).otherwise(
@@ -133,41 +118,73 @@ def entity(span: Column) -> Column:
     )
 
 
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.length(w) >= 4)
+
+
+def features(text: Column) -> Column:
+    """``FEATURES`` features of the text, each of ``HASHES`` least hashes of its three-word shingles."""
+    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    hashes = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    least = lambda k: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, k)))
+    return F.transform(F.sequence(F.lit(0), F.lit(FEATURES - 1)), lambda b: F.xxhash64(b, *(least(b * HASHES + i) for i in range(HASHES))))
+
+
+def revealing_terms(rows: DataFrame) -> DataFrame:
+    """(term): the terms that reveal an entity, from ``rows`` (row, text, entities).
+
+    No group is ever gathered: all figures are sums and extremes, made of partial ones before they are exchanged."""
+    total = rows.count()
+    with_any = rows.where("size(entities) > 0")
+    each = with_any.select("row", F.xxhash64("text").alias("h"), F.explode("entities").alias("entity"))
+    known = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.min("h").alias("low"), F.max("h").alias("high"))
+    # an entity of one text has no evidence but copies; one of over N / 2^MIN_BITS documents can't tell that many bits
+    known = stage_table(known.where((F.col("low") != F.col("high")) & (F.col("n_e") * 2**MIN_BITS <= total)).select("entity", "n_e"), "entities")
+    links = stage_table(each.select("row", "entity").join(broadcast_if_small(known.select("entity")), "entity"), "entity-rows")
+    hit = broadcast_if_small(stage_table(links.select("row").distinct(), "rows-with-entities"))
+    texts = stage_table(with_any.join(hit, "row", "left_semi").select("row", terms_of(F.col("text")).alias("terms"), features(F.col("text")).alias("features")), "entity-texts")
+
+    # classes of copies: the smallest row with one of the row's features
+    marks = stage_table(links.join(texts.select("row", F.posexplode("features").alias("k", "f")), "row"), "entity-features")
+    first = stage_table(marks.groupBy("entity", "k", "f").agg(F.min("row").alias("first")), "first-copies")
+    classes = stage_table(marks.join(first, ["entity", "k", "f"]).groupBy("entity", "row").agg(F.min("first").alias("class")), "copies")
+
+    met = classes.join(texts, "row").select("entity", "class", F.explode("terms").alias("term"))
+    pairs = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"), F.min("class").alias("low"), F.max("class").alias("high"))
+    pairs = stage_table(pairs.where("low <> high").drop("low", "high"), "entity-terms")
+    n_t = rows.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    scored = pairs.join(n_t, "term").join(known, "entity")
+    disclosed = (F.col("n_te") >= MIN_DISCLOSURE * F.col("n_t")) & (F.log2(F.lit(total) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) >= MIN_BITS)
+    return stage_table(scored.where(disclosed).select("term").distinct(), "revealing")
+
+
+def outside(span: Column, base: Column) -> Column:
+    """The span overlaps none of ``base``."""
+    return ~F.exists(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+
+
 def pii_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """``doc_id`` and ``spans`` (kind, start, end; code points, end exclusive; by start, then kind), of the fixed patterns
     and of the terms that reveal what they found. ``keep_text`` adds the text."""
+    bare = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     found = base_spans(docs, id_col, text_col)
-    mention = F.transform("found", lambda s: F.struct(entity(s).alias("entity"), terms_near(F.col("text"), s).alias("terms")))
     told = found.select(
         "doc_id",
-        *(["text"] if keep_text else []),
-        F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"),
-        F.when(F.size("found") > 0, mention).otherwise(F.lit(None)).alias("mentions"),
-        F.expr("uuid()").alias("row"),
-    )
-    rows = stage_table(told, "pii")  # from here on each row has its own fixed name
-    mentions = rows.where("mentions is not null").select("row", F.explode("mentions").alias("m")).select("row", "m.entity", F.explode("m.terms").alias("t"))
-    near = mentions.select("row", "entity", "t.term", "t.start", "t.end")
-
-    # co-occurrence: documents a pair, an entity, a term. Sums of few partial rows; no group is ever gathered.
-    each = rows.where("mentions is not null").select(
-        F.explode(F.array_distinct(F.flatten(F.transform("mentions", lambda m: F.transform(F.array_distinct(F.transform(m["terms"], lambda t: t["term"])), lambda t: F.struct(m["entity"].alias("entity"), t.alias("term"))))))).alias("p")
+        "text",
+        bare(F.col("found")).alias("base"),
+        F.when(F.size("found") > 0, F.array_distinct(F.transform("found", entity))).otherwise(F.expr("cast(array() as array<string>)")).alias("entities"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    pairs = each.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= MIN_SUPPORT)
-    entities = rows.where("mentions is not null").select(F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity"))
-    n_e = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    wanted = pairs.select("term").distinct()
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    words = docs.select(F.explode(F.array_distinct(F.split(text, r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= 4)
-    n_t = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = rows.agg(F.count(F.lit(1)).alias("n"))  # one row
-    scored = pairs.join(n_t, "term").join(n_e, "entity").crossJoin(F.broadcast(total))
-    reveals = scored.where((F.col("n_te") >= MIN_DISCLOSURE * F.col("n_t")) & (F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) >= MIN_BITS))
-    terms = near.join(reveals.select("entity", "term"), ["entity", "term"])
-    by_row = terms.groupBy("row").agg(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("terms"))
-    out = rows.join(by_row, "row", "left")
-    none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")
-    return out.select("doc_id", *(["text"] if keep_text else []), in_order(F.concat("base", F.coalesce("terms", none)), KINDS).alias("spans"))
+    rows = stage_table(told, "pii")  # from here on each row has its own fixed number
+    reveals = broadcast_if_small(revealing_terms(rows.select("row", "text", "entities")))
+    hits = rows.select("row", F.explode(terms_of(F.col("text"))).alias("term")).join(reveals, "term")
+    by_row = stage_table(hits.groupBy("row").agg(F.array_join(F.array_sort(F.collect_list("term")), "|").alias("terms")), "rows-with-terms")
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.col("terms"), F.lit(r")(?!\p{L})"))
+    spans = placed("term", F.col("text"), pattern, F.regexp_extract_all("text", pattern, F.lit(0)))
+    terms = F.filter(bare(spans), lambda s: outside(s, F.col("base")))
+    every = F.when(F.col("terms").isNull(), F.col("base")).otherwise(in_order(F.concat("base", terms), KINDS))
+    return rows.join(broadcast_if_small(by_row), "row", "left").select("doc_id", *(["text"] if keep_text else []), every.alias("spans"))
 
 
 def sanitize(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -225,15 +225,48 @@ def test_pii(spark, rows, table_dir):
 
 
 def test_revealing_terms(spark):
-    near = "the owner Zebulon Quackenbush writes from zeb@corp.example.com about plants"
-    other = [f"the owner writes about plants number{chr(97 + i)} and {chr(97 + i)}@x.example.org" for i in range(20)]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate([near, near + " again", *other])], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pii.pii_spans(docs).collect()}
-    terms = {near[s["start"] : s["end"]] for s in got[0]["spans"] if s["kind"] == "term"}
-    assert {"Zebulon", "Quackenbush"} <= terms and not terms & {"owner", "writes", "plants"}
+    """Terms, counted by the definition, over texts whose copies are known; every occurrence outside the patterns' spans."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    texts = [(k, prose(80)) for k in range(300)]
+    texts += [(1000 + k, f"{prose(50)} contact Zebulon Quackenbush at zeb@corp.example.com {prose(50)}") for k in range(3)]
+    texts += [(1100, f"{prose(30)} about ZEBULON alone {prose(20)}"), (1101, f"Über {prose(9)} Zebulonia. zeb@corp.example.com {prose(40)}")]
+    copy = f"{prose(60)} mail Waldemar at wal@x.example.org {prose(40)}"
+    texts += [(2000, copy)] * 6
+    for _ in range(20):
+        words = copy.split()
+        for _ in range(3):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        texts.append((2000, " ".join(words)))
+    texts += [(3000 + k, f"{prose(60)} all@every.example.net {prose(10)}") for k in range(200)]  # too frequent to tell anything
+    texts += [(4000, None), (4001, "")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string").repartition(3)
+
+    total, at, having, classes, n_t = len(texts), {}, Counter(), {}, Counter()
+    entities = []
+    for group, text in texts:
+        terms = {w.lower() for w in re.findall(r"[^\W\d_]+", text or "") if len(w) >= 4}
+        own = {text[a:b].lower() for a, k, b in brute_pii(text or "") if k == 0}
+        n_t.update(terms)
+        having.update(own)
+        entities.append(own)
+        for e in own:
+            for t in terms:
+                at[e, t] = at.get((e, t), 0) + 1
+                classes.setdefault((e, t), set()).add(group)
+    reveals = {t for (e, t), n in at.items() if len(classes[e, t]) > 1 and 2 * n >= n_t[t] and total * n >= 8 * n_t[t] * having[e] and total >= 8 * having[e]}
+    assert {"zebulon", "quackenbush"} <= reveals and "waldemar" not in reveals
+    found = 0
+    for r in pii.pii_spans(docs).collect():
+        text = texts[r["doc_id"]][1] or ""
+        base = brute_pii(text)
+        want = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", text) if m[0].lower() in reveals and not any(a < m.end() and m.start() < b for a, _, b in base)]
+        assert [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "term"] == want
+        found += len(want)
+    assert found >= 9
     clean = {r["doc_id"]: r["text"] for r in pii.sanitize(docs).collect()}
-    assert "Zebulon" not in clean[0] and "<email>" in clean[0] and "owner" in clean[0]
-    assert not any(s["kind"] == "term" for i in range(2, 22) for s in got[i]["spans"])
+    assert "Zebulon" not in clean[300] and "<email>" in clean[300] and "ZEBULON" not in clean[303] and "Waldemar" in clean[305]
 
 
 def test_shards(spark, rows, table_dir):
