@@ -13,7 +13,7 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
 
     A round lets each node, and the label that it had, take the smallest label among its neighbours, and then the label's
     label; the number of rounds is about the logarithm of the longest path. Nothing but one sum a round reaches the
-    driver, and every round is written to the shared folder.
+    driver. Both sides of every join are written first, so that a hub, or a label with many nodes, can be split.
     """
     both = links.select("a", "b").union(links.select("b", "a")).where("a <> b")
     edges = stage_table(both.distinct(), f"{name}-links")
@@ -22,9 +22,10 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
     before, n = None, 0
     while (now := total(labels)) != before:
         before, n = now, n + 1
-        near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
+        near = stage_table(edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("label").alias("near")), f"{name}-near")
         own = labels.join(near, labels.id == near.a).select("id", "label", F.least("label", "near").alias("new"))
-        hooked = own.select("id", F.col("new")).union(own.select(F.col("label").alias("id"), "new")).groupBy("id").agg(F.min("new").alias("label"))
+        both = own.select("id", F.col("new")).union(own.select(F.col("label").alias("id"), "new"))
+        hooked = stage_table(both.groupBy("id").agg(F.min("new").alias("label")), f"{name}-hooked")
         up = hooked.select(F.col("id").alias("up"), F.col("label").alias("jump"))
         labels = stage_table(hooked.join(up, hooked.label == up.up).select("id", F.least("label", "jump").alias("label")), f"{name}-{n}")
     return labels

@@ -1,11 +1,12 @@
 """SimHash near-duplicates, linked through BK-trees.
 
-Equal fingerprints are one class. The distinct ones go to shards: the 64 bits are cut into radius + 2 blocks, and two
-fingerprints within the radius agree in at least two of them, so each pair of blocks is a table, and its value in the two
-blocks names a shard. A task builds one BK-tree a shard (children keyed by their Hamming distance to the parent) and
-every fingerprint walks the tree of its shard along the edges within the radius. A shard with more than ``HOT`` members
-is cut once more by the same rule on the bits that are left. Trees are built where their shard is, instead of being sent to all executors: the number of
-distinct fingerprints grows with the corpus and has no bound that a broadcast could rely on.
+Equal fingerprints are one class. The 64 bits are cut into radius + 1 blocks; two fingerprints within the radius agree in one
+of them at least, so each block is a table, and the first bits of its value name a shard: so many bits that a shard has about
+``SHARD`` members, whatever the number of fingerprints, enough for a tree to prune. A task builds one BK-tree a shard (children
+keyed by their Hamming distance to the parent) and every fingerprint walks the tree of its shard along the edges within the
+radius. A shard with more than ``HOT`` members is cut again by the same rule on the bits that are left. Trees are built where
+their shard is, instead of being sent to all executors: the number of distinct fingerprints grows with the corpus, has no
+bound that a broadcast could rely on, and may not pass the driver.
 
 A shard's links are reduced to a spanning star before they leave the task: no connection is lost, and a group of n gives
 n - 1 links, not n squared.
@@ -19,20 +20,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semweave.llm.arrow_rows import map_text, raw_bytes
+from semweave.llm.arrow_rows import free_name, map_text, raw_bytes, slices
 from semweave.llm.components import connected_components
 from semweave.llm.shared import stage_table
 
 SEED = 42
-#: Members of a shard from which it is cut once more.
-HOT = 30_000
+#: Members that a shard has on average, and from how many on it is cut once more.
+SHARD, HOT = 2_048, 30_000
+#: Times that a hot shard is cut.
+CUTS = 3
 #: Fingerprints that a task takes at once, whole shards.
 TOGETHER = 200_000
 #: Walks that a task makes side by side.
@@ -63,10 +66,13 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
-def blocks(bits: list[int], radius: int) -> list[int]:
-    """Masks of all pairs of the radius + 2 blocks that ``bits`` are cut into."""
-    parts = np.array_split(np.array(bits), radius + 2)
-    return [sum(1 << int(b) for p in pair for b in p) for pair in combinations(parts, 2)]
+def blocks(bits: list[int], radius: int, n: int | None = None) -> list[int]:
+    """Masks by which fingerprints are dealt to shards: the radius + 1 blocks that ``bits`` are cut into; for ``n``
+    fingerprints their first bits, so many that a shard has about SHARD members."""
+    parts = [p.tolist() for p in np.array_split(np.array(bits), radius + 1)]
+    use = 64 if n is None else max(0, math.ceil(math.log2(max(1, n) / SHARD)))
+    masks = [sum(1 << b for b in p[:use]) for p in parts]
+    return masks if use else masks[:1]  # one shard needs one table
 
 
 def signed(mask: int) -> int:
@@ -94,10 +100,12 @@ class Forest:
 
     def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of nodes of one tree within the radius, larger number first, for some walks at a time."""
+        self.walked = 0
         for low in range(0, len(self.prints), WALKS):
             who = np.arange(low, min(low + WALKS, len(self.prints)))
             at = self.root[who]
             while len(who):
+                self.walked += len(who)
                 far = np.bitwise_count(self.prints[who] ^ self.prints[at]).astype(np.int64)
                 hit = (far <= radius) & (at < who)
                 yield who[hit], at[hit]
@@ -156,23 +164,43 @@ def shard_links(members: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def dealt(prints: DataFrame, masks: list[int], first: int) -> DataFrame:
+    """(tab, shard, fp): a row for each mask; tables are numbered from ``first``."""
+    tables = (F.struct(F.lit(first + i).cast("long").alias("tab"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("shard")) for i, m in enumerate(masks))
+    return prints.select("fp", F.explode(F.array(*tables)).alias("m")).select("m.tab", "m.shard", "fp")
+
+
 def link_prints(prints: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) that connect all of the distinct ``prints`` (fp) within the radius of one another."""
-    masks = [signed(m) for m in blocks(list(range(64)), radius)]
-    table = lambda ms, name: F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("tab"), F.col("fp").bitwiseAND(F.lit(m)).alias("shard")) for i, m in ms))).alias(name)
-    members = prints.select("fp", table(list(enumerate(masks)), "m")).select("m.tab", "m.shard", "fp")
-    hot = members.groupBy("tab", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).drop("n")
-    hot = stage_table(hot, "hot-shards")  # few: each has over HOT members
-    if hot.isEmpty():
-        return shard_links(members, radius)
-    calm = members.join(hot, ["tab", "shard"], "left_anti")
-    warm = members.join(hot, ["tab", "shard"], "left_semi")
-    finer = []
-    for i, m in enumerate(masks):
-        free = [b for b in range(64) if not (m >> b) & 1]
-        finer.append(F.when(F.col("tab") == i, F.array(*(F.struct(F.lit(1000 * (i + 1) + j).cast("long").alias("tab"), F.col("fp").bitwiseAND(F.lit(signed((m & (2**64 - 1)) | f))).alias("shard")) for j, f in enumerate(blocks(free, radius))))))
-    cut = warm.select("fp", F.explode(F.coalesce(*finer)).alias("m")).select("m.tab", "m.shard", "fp")
-    return shard_links(calm.unionByName(cut), radius)
+    """Links (a, b) that connect all of the distinct ``prints`` (fp), a written table, within the radius of one another."""
+    masks = dict(enumerate(blocks(list(range(64)), radius, prints.count())))
+    members = dealt(prints, list(masks.values()), 0)
+    parts: list[DataFrame] = []
+    for cut in range(CUTS):
+        # few: each has over HOT members
+        hot = stage_table(members.groupBy("tab", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT), f"hot-shards-{cut}")
+        tables = [r["tab"] for r in hot.select("tab").distinct().collect()]  # a row a table
+        if not tables:
+            break
+        parts.append(members.join(hot.drop("n"), ["tab", "shard"], "left_anti"))
+        finer, cuts = {}, []
+        for tab in tables:
+            of_tab = members.where(F.col("tab") == tab).join(hot.drop("n"), ["tab", "shard"], "left_semi")
+            free = [b for b in range(64) if not (masks[tab] >> b) & 1]
+            if len(free) <= radius:
+                parts.append(of_tab)
+                continue
+            first = (tab + 1) * 1000
+            own = [masks[tab] | m for m in blocks(free, radius)]
+            finer |= dict(enumerate(own, first))
+            cuts.append(dealt(of_tab.select("fp"), own, first))
+        if not cuts:
+            members = None
+            break
+        masks = finer
+        members = stage_table(reduce(DataFrame.unionByName, cuts), f"cut-shards-{cut}")
+    if members is not None:
+        parts.append(members)
+    return shard_links(reduce(DataFrame.unionByName, parts), radius)
 
 
 def fingerprints(docs: DataFrame, width: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,7 +211,7 @@ def fingerprints(docs: DataFrame, width: int = 3, *, id_col: str = "doc_id", tex
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``, the smallest id that links lead to."""
     rows = stage_table(fingerprints(docs, width, id_col=id_col, text_col=text_col), "prints")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = stage_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     labels = connected_components(link_prints(classes.select("fp"), radius), "simhash")
     placed = classes.join(labels, classes.fp == labels.id, "left").where("n > 1 or id is not null")
     placed = placed.select("fp", "first", F.coalesce("label", "fp").alias("label"))
@@ -201,12 +229,12 @@ def hex_print(fp: Column) -> Column:
 BANDS, BAND_ROWS, BINS = 12, 3, 256
 #: Four standard errors of a sketch's similarity: pairs this near the threshold are compared by their whole texts.
 MARGIN = 0.1
-#: Keys of 16 bytes that are sent to all executors at most, to pick the texts that have to be compared.
-SENT = 1_000_000
 #: Shingles that a task remembers while it compares texts.
 HELD = 1_000_000
 #: Counters by which the shingles of crowded band groups are put in order.
 SLOTS = 1 << 18
+#: Bits of the filter of wanted texts, as a power of 2: 8 MB.
+WANTED_BITS = 26
 _seeds = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -238,66 +266,86 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(used == 0, 1, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(used, 1))
 
 
-def led_pairs(member: DataFrame, *leaders: Column) -> DataFrame:
-    """Pairs (c1, c2, l1, l2) of the members (c1, c2, band, key) and each of the leaders, aggregates, of their group."""
-    led = member.groupBy("band", "key").agg(F.array(*(F.struct(x["c1"].alias("l1"), x["c2"].alias("l2")) for x in leaders)).alias("leaders"))
-    pairs = member.join(led, ["band", "key"]).select("c1", "c2", F.explode("leaders").alias("l"))
-    return pairs.select("c1", "c2", "l.l1", "l.l2").distinct()
+def led_pairs(member: DataFrame, name: str, *leaders: Column) -> DataFrame:
+    """Pairs (node, other) of the members (node, band, key) and each of the leaders, aggregates, of their group. The leaders
+    are written, so that the rows of a large group can be split."""
+    led = stage_table(member.groupBy("band", "key").agg(F.array(*(x["node"] for x in leaders)).alias("leaders")), name)
+    return member.join(led, ["band", "key"]).select("node", F.explode("leaders").alias("other")).distinct()
 
 
 def alike(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs that are at most ``MARGIN`` below the threshold by their sketches, with their similarity times 1000."""
-    own = texts.select("c1", "c2", "sketch")
-    other = texts.select(F.col("c1").alias("l1"), F.col("c2").alias("l2"), F.col("sketch").alias("other"))
+    own, theirs = texts.select("node", "sketch"), texts.select(F.col("node").alias("other"), F.col("sketch").alias("theirs"))
     # the leaders first: theirs are the frequent keys, and the rows are still small
-    met = pairs.join(other, ["l1", "l2"]).join(own, ["c1", "c2"]).select("c1", "c2", "l1", "l2", "sketch", "other")
+    met = pairs.join(theirs, "other").join(own, "node").select("node", "other", "sketch", "theirs")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
                 s = similarity(a, b)
-                out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array((s * 1000).astype(np.int64))], names=["c1", "c2", "l1", "l2", "score"])
+                out = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array((s * 1000).astype(np.int64))], names=["node", "other", "score"])
                 yield out.filter(pa.array(s >= least - MARGIN))
 
-    return stage_table(met.mapInArrow(run, "c1 long, c2 long, l1 long, l2 long, score long"), "alike")
+    return stage_table(met.mapInArrow(run, "node long, other long, score long"), "alike")
 
 
 def printed_pairs(texts: DataFrame, radius: int) -> DataFrame:
-    """Pairs (c1, c2, l1, l2) of texts with equal fingerprints, or with fingerprints that the trees link."""
-    first = stage_table(texts.groupBy("fp").agg(F.min(F.struct("c1", "c2")).alias("t"), F.count(F.lit(1)).alias("n")), "first-texts")
-    equal = texts.join(first.where("n > 1"), "fp").select("c1", "c2", F.col("t.c1").alias("l1"), F.col("t.c2").alias("l2"))
-    left, right = first.select(F.col("fp").alias("a"), F.col("t").alias("x")), first.select(F.col("fp").alias("b"), F.col("t").alias("y"))
-    linked = link_prints(first.select("fp"), radius).join(left, "a").join(right, "b")
-    return equal.unionByName(linked.selectExpr("x.c1", "x.c2", "y.c1 as l1", "y.c2 as l2"))
+    """Pairs (node, other) of texts with equal fingerprints, or with fingerprints that the trees link."""
+    first = stage_table(texts.groupBy("fp").agg(F.min("node").alias("other"), F.count(F.lit(1)).alias("n")), "first-texts")
+    equal = texts.select("fp", "node").join(first.where("n > 1"), "fp").select("node", "other")
+    left, right = first.select(F.col("fp").alias("a"), F.col("other").alias("node")), first.select(F.col("fp").alias("b"), "other")
+    return equal.unionByName(link_prints(first.select("fp"), radius).join(left, "a").join(right, "b").select("node", "other"))
+
+
+def wanted_texts(whole: DataFrame, texts: DataFrame, need: DataFrame) -> DataFrame:
+    """(node, text) of the nodes of ``need``, a written table. ``whole`` (c1, c2, text) has them, with copies.
+
+    Only rows that a filter of fixed size lets through are exchanged: nearly those that are needed while they are a few
+    million, all of them when the filter is full. The filter's words, 2^20 rows at most, are all that reaches the driver."""
+    keys = stage_table(need.join(texts.select("node", "c1", "c2"), "node"), "wanted-keys")
+    place = lambda c: F.col(c).bitwiseAND(F.lit((1 << WANTED_BITS) - 1))
+    bits = keys.select(F.explode(F.array(place("c1"), place("c2"))).alias("p"))
+    words = bits.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask")).toArrow()
+    table = np.zeros(1 << (WANTED_BITS - 6), np.uint64)
+    table[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    sent = whole.sparkSession.sparkContext.broadcast(table)
+
+    def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            places = ((batch.column(i).to_numpy().view(np.uint64) & np.uint64((1 << WANTED_BITS) - 1)) for i in (0, 1))
+            one, two = ((bits[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1 for p in places)
+            yield batch.filter(pa.array(one & two))
+
+    some = whole.select("c1", "c2", "text").mapInArrow(held, "c1 long, c2 long, text string")
+    return some.join(keys, ["c1", "c2"]).groupBy("node").agg(F.first("text").alias("text"))
 
 
 def similar_links(texts: DataFrame, whole: DataFrame, least: float, width: int, radius: int) -> DataFrame:
-    """Links (a, b: c1) of similar texts among the distinct ``texts`` (c1, c2, fp, keys, sketch); ``whole`` has the texts
-    themselves (c1, c2, text).
+    """Links (a, b: nodes) of similar texts among the distinct ``texts`` (node, c1, c2, fp, keys, sketch); ``whole`` has the
+    texts themselves (c1, c2, text).
 
     In each group of equal band keys every text is compared with two leaders, the first and the last by a hash that
     differs from band to band, and then with the text that was most like all leaders it met: that is the one that the
     copies of a group were made from. These three comparisons a text and band link most of a group; ``crowd_links`` then
     compares what they left apart. Every pair is verified, on sketches and near the threshold on the texts.
     """
-    member = texts.select("c1", "c2", F.posexplode("keys").alias("band", "key"))
-    sizes = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    member = stage_table(texts.select("node", F.posexplode("keys").alias("band", "key")), "band-keys")
+    sizes = stage_table(member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "band-sizes")
     member = stage_table(member.join(sizes, ["band", "key"]), "band-members")
-    by_hash = F.struct(F.xxhash64("c1", "c2", "band").alias("order"), "c1", "c2")
-    first = alike(led_pairs(member, F.min(by_hash), F.max(by_hash)).unionByName(printed_pairs(texts, radius)).distinct(), texts, least)
-    central = first.groupBy("c1", "c2").agg(F.sum("score").alias("total"))
-    ranked = member.join(central, ["c1", "c2"], "left")
-    middle = alike(led_pairs(ranked, F.max(F.struct("total", "c1", "c2"))), texts, least)
-    near = first.unionByName(middle).where("c1 <> l1 or c2 <> l2").distinct()
+    by_hash = F.struct(F.xxhash64("node", "band").alias("order"), "node")
+    first = alike(led_pairs(member, "leaders", F.min(by_hash), F.max(by_hash)).unionByName(printed_pairs(texts, radius)).distinct(), texts, least)
+    central = stage_table(first.groupBy("node").agg(F.sum("score").alias("total")), "central")
+    ranked = stage_table(member.join(central, "node", "left"), "ranked")
+    middle = alike(led_pairs(ranked, "middles", F.max(F.struct("total", "node"))), texts, least)
+    near = first.unionByName(middle).where("node <> other").distinct()
     near = stage_table(near.withColumn("sure", F.col("score") >= 1000 * (least + MARGIN)), "near")
     open_ = near.where("not sure")
-    need = stage_table(open_.select("c1", "c2").union(open_.select("l1", "l2")).distinct(), "open-texts")
-    if need.count() <= SENT:  # else the texts are exchanged once
-        need = F.broadcast(need)
-    held = stage_table(whole.join(need, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.first("text").alias("text")), "near-texts")
-    left, right = held.withColumnRenamed("text", "x"), held.select(F.col("c1").alias("l1"), F.col("c2").alias("l2"), F.col("text").alias("y"))
-    both = open_.join(left, ["c1", "c2"]).join(right, ["l1", "l2"]).select(F.col("c1").alias("a"), F.col("l1").alias("b"), "x", "y")
+    need = stage_table(open_.select("node").union(open_.select("other")).distinct(), "open-texts")
+    held = stage_table(wanted_texts(whole, texts, need), "near-texts")
+    left, right = held.withColumnRenamed("text", "x"), held.select(F.col("node").alias("other"), F.col("text").alias("y"))
+    both = open_.join(right, "other").join(left, "node").select(F.col("node").alias("a"), F.col("other").alias("b"), "x", "y")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,14 +363,14 @@ def similar_links(texts: DataFrame, whole: DataFrame, least: float, width: int,
                 keep.append(shared >= least * (len(sets[x]) + len(sets[y]) - shared))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    led = near.where("sure").select(F.col("c1").alias("a"), F.col("l1").alias("b")).unionByName(both.mapInArrow(compare, "a long, b long"))
+    led = near.where("sure").select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(both.mapInArrow(compare, "a long, b long"))
     led = stage_table(led, "led-links")
     rest = crowd_links(texts, whole, member, led, least, width)
     return led if rest is None else led.unionByName(rest)
 
 
 def crowd_links(texts: DataFrame, whole: DataFrame, member: DataFrame, led: DataFrame, least: float, width: int) -> DataFrame | None:
-    """Links (a, b: c1) between texts of one band group that ``led`` leaves in different components.
+    """Links (a, b: nodes) between texts of one band group that ``led`` leaves in different components.
 
     The texts of groups that are not yet one component are joined exactly, by a prefix filter on their whole shingle sets:
     with the shingles in one order, the rarest first, two sets of similarity ``least`` share one of the first
@@ -330,21 +378,21 @@ def crowd_links(texts: DataFrame, whole: DataFrame, member: DataFrame, led: Data
     that reaches the driver; any order gives the same links.
     """
     labels = connected_components(led, "led")
-    named = member.join(labels, member.c1 == labels.id, "left").select("c1", "c2", "band", "key", F.coalesce("label", "c1").alias("label"))
+    named = stage_table(member.join(labels, member.node == labels.id, "left").select("node", "band", "key", F.coalesce("label", "node").alias("label")), "band-labels")
     # in a group of three the leaders met everyone
     split = named.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 3 and low <> high")
-    need = stage_table(named.join(split.select("band", "key"), ["band", "key"], "left_semi").select("c1", "c2", "label").distinct(), "crowd")
-    n_need = need.count()
-    if not n_need:
+    split = stage_table(split.select("band", "key"), "split-groups")
+    need = stage_table(named.join(split, ["band", "key"], "left_semi").select("node", "label").distinct(), "crowd")
+    if need.isEmpty():
         return None
-    held = whole.join(F.broadcast(need) if n_need <= SENT else need, ["c1", "c2"]).groupBy("c1", "c2").agg(F.first("label").alias("label"), F.first("text").alias("text"))
+    held = wanted_texts(whole, texts, need.select("node")).join(need, "node").select("node", "label", "text")
 
     def shingle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t or b"", width)).view(np.int64) for t in raw_bytes(batch.column(3))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["c1", "c2", "label", "hashes"])
+        for batch in slices(batches, 2):
+            sets = [np.unique(shingle_hashes(t or b"", width)).view(np.int64) for t in raw_bytes(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.list_(pa.int64()))], names=["node", "label", "hashes"])
 
-    sets = stage_table(held.mapInArrow(shingle, "c1 long, c2 long, label long, hashes array<bigint>"), "crowd-sets")
+    sets = stage_table(held.mapInArrow(shingle, "node long, label long, hashes array<bigint>"), "crowd-sets")
     count = sets.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.count(F.lit(1)).alias("n")).toArrow()
     often = np.zeros(SLOTS, np.int64)
     often[count["slot"].to_numpy()] = count["n"].to_numpy()
@@ -352,16 +400,16 @@ def crowd_links(texts: DataFrame, whole: DataFrame, member: DataFrame, led: Data
     def prefix(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                h = batch.column(3)[i].values.to_numpy()
+                h = batch.column(2)[i].values.to_numpy()
                 first = h[np.lexsort((h, often[h & (SLOTS - 1)]))][: len(h) - math.ceil(least * len(h) - 1e-9) + 1]
-                own = [np.full(len(first), v, np.int64) for v in (*(batch.column(c)[i].as_py() for c in range(3)), len(h))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first, *own)], names=["h", "c1", "c2", "label", "size"])
+                own = [np.full(len(first), v, np.int64) for v in (*(batch.column(c)[i].as_py() for c in range(2)), len(h))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first, *own)], names=["h", "node", "label", "size"])
 
-    prefixes = sets.mapInArrow(prefix, "h long, c1 long, c2 long, label long, size long")
-    pairs = prefixes.repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: apart_pairs(batches, least), "c1 long, c2 long, l1 long, l2 long")
+    prefixes = sets.mapInArrow(prefix, "h long, node long, label long, size long")
+    pairs = prefixes.repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: apart_pairs(batches, least), "node long, other long")
     near = alike(pairs.distinct(), texts, least)
-    other = sets.select(F.col("c1").alias("l1"), F.col("c2").alias("l2"), F.col("hashes").alias("y"))
-    both = near.join(sets.select("c1", "c2", F.col("hashes").alias("x")), ["c1", "c2"]).join(other, ["l1", "l2"])
+    other = sets.select(F.col("node").alias("other"), F.col("hashes").alias("y"))
+    both = near.join(other, "other").join(sets.select("node", F.col("hashes").alias("x")), "node")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,27 +420,24 @@ def crowd_links(texts: DataFrame, whole: DataFrame, member: DataFrame, led: Data
                 keep.append(shared >= least * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select(F.col("c1").alias("a"), F.col("l1").alias("b"), "x", "y").mapInArrow(compare, "a long, b long")
+    return both.select(F.col("node").alias("a"), F.col("other").alias("b"), "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def apart_pairs(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (c1, c2, l1, l2) of rows (h, c1, c2, label, size), in order of h, with one h, different labels and sizes that
-    allow the similarity."""
+    """Pairs (node, other) of rows (h, node, label, size), in order of h, with one h, different labels and sizes that allow
+    the similarity; the smaller node first."""
 
-    def walk(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def walk(rows: np.ndarray) -> Iterator[np.ndarray]:
         edge = np.flatnonzero(np.diff(rows[:, 0])) + 1
         for low, high in zip([0, *edge.tolist()], [*edge.tolist(), len(rows)], strict=True):
             group = rows[low:high]
-            if high - low < 2 or (group[:, 3] == group[0, 3]).all():
+            if high - low < 2 or (group[:, 2] == group[0, 2]).all():
                 continue
             for i in range(1, len(group)):
                 x, own = group[:i], group[i]
-                met = x[(x[:, 3] != own[3]) & (np.minimum(x[:, 4], own[4]) >= least * np.maximum(x[:, 4], own[4]))]
+                met = x[(x[:, 2] != own[2]) & (np.minimum(x[:, 3], own[3]) >= least * np.maximum(x[:, 3], own[3])), 1]
                 if len(met):
-                    mine = np.broadcast_to(own[1:3], (len(met), 2))
-                    swap = (mine[:, 0] < met[:, 1]) | ((mine[:, 0] == met[:, 1]) & (mine[:, 1] < met[:, 2]))
-                    a, b = np.where(swap[:, None], mine, met[:, 1:3]), np.where(swap[:, None], met[:, 1:3], mine)
-                    yield np.concatenate((a, b), axis=1)
+                    yield np.stack((np.minimum(met, own[1]), np.maximum(met, own[1])), axis=1)
 
     def batched(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -401,7 +446,7 @@ def apart_pairs(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.
                 held.append(part)
                 size += len(part)
             if held and (part is None or size >= 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(np.concatenate(held).T)], names=["c1", "c2", "l1", "l2"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(np.concatenate(held).T)], names=["node", "other"])
                 held, size = [], 0
 
     held, size = [], 0
@@ -424,25 +469,25 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 3, least
 
     Texts are linked if the similarity of their sets of shingles is ``least`` or more; texts without words are alike.
     Candidates are fingerprints within the radius, from the trees, and, since at 0.8 fingerprints of 64 bits differ in
-    about ten and no tree prunes at such a radius, band keys of the same shingle hashes. A linked text is named by 64 bits
-    of its hash.
+    about ten and no tree prunes at such a radius, band keys of the same shingle hashes. Texts are told apart by two 64-bit
+    hashes.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = {"__k0": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "__k1": F.xxhash64(text), "__k2": F.crc32(text.cast("binary")).cast("long")}
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    key = {"k0": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2**63 - 1)), "c1": F.xxhash64(text), "c2": F.xxhash64(F.lit(1), text)}
 
     def kernel(raw: bytes) -> tuple:
         hashes = shingle_hashes(raw, width)
         return fingerprint(hashes), bands(hashes), sketch(hashes)
 
     fields = [("fp", pa.int64(), "long"), ("keys", pa.list_(pa.int64()), "array<bigint>"), ("sketch", pa.binary(), "binary")]
-    also = {"k0": key["__k0"], "c1": key["__k1"], "c2": key["__k2"]}
-    rows = stage_table(map_text(docs, lambda: kernel, fields, id_col=id_col, text_col=text_col, also=also), "sketches")
-    texts = rows.groupBy("c1", "c2").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    whole = docs.select(key["__k1"].alias("c1"), key["__k2"].alias("c2"), text.alias("text"))
+    rows = stage_table(map_text(docs, lambda: kernel, fields, id_col=id_col, text_col=text_col, also=key), "sketches")
+    texts = rows.groupBy("c1", "c2").agg(F.min("k0").alias("k0"), *(F.first(c).alias(c) for c in ("fp", "keys", "sketch")))
+    texts = stage_table(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    whole = docs.select(key["c1"].alias("c1"), key["c2"].alias("c2"), text.alias("text"))
     labels = connected_components(similar_links(texts, whole, least, width, radius), "similar")
-    group = F.when(F.col("label").isNull(), F.struct("c1", "c2")).otherwise(F.struct(F.col("label").alias("c1"), F.lit(None).cast("long").alias("c2")))
-    labelled = rows.join(labels, rows.c1 == labels.id, "left").select(group.alias("label"), F.struct("k0", "c1", "c2").alias("k"))
-    kept = labelled.groupBy("label").agg(F.min("k").alias("k")).select(F.col("k.k0").alias("__k0"), F.col("k.c1").alias("__k1"), F.col("k.c2").alias("__k2"))
-    names = docs.columns
-    found = docs.withColumns(key).join(kept, list(key), "left_semi").dropDuplicates(list(key))
-    return found.select(*(F.col(f"`{c}`") for c in names))
+    labelled = texts.join(labels, texts.node == labels.id, "left").select(F.coalesce("label", "node").alias("label"), F.struct("k0", "c1", "c2").alias("k"))
+    kept = labelled.groupBy("label").agg(F.min("k").alias("k"))
+    names = dict(zip(key, (free_name(docs, f"key_{k}") for k in key), strict=True))
+    kept = stage_table(kept.select(*(F.col("k")[k].alias(n) for k, n in names.items())), "kept")
+    found = docs.withColumns({names[k]: c for k, c in key.items()}).join(kept, list(names.values()), "left_semi").dropDuplicates(list(names.values()))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns))

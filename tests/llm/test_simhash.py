@@ -62,7 +62,8 @@ def test_links_and_hot_shards(spark, monkeypatch):
     prints = clustered()
     want = brute_components(set(prints), 2)
     df = spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long")
-    for hot in (30_000, 3):
+    for shard, hot in ((2048, 30_000), (16, 30_000), (16, 3), (2048, 100)):
+        monkeypatch.setattr(simhash, "SHARD", shard)
         monkeypatch.setattr(simhash, "HOT", hot)
         got = {r["id"] % 2**64: r["label"] % 2**64 for r in connected_components(simhash.link_prints(df, 2)).collect()}
         groups, expected = {}, {}
@@ -80,6 +81,15 @@ def test_tree_finds_all_pairs():
     assert got == want
 
 
+def test_trees_prune():
+    """A walk of a shard of the usual size visits a part of its nodes."""
+    rng = np.random.default_rng(1)
+    prints = np.unique(rng.integers(0, 1 << 63, simhash.SHARD, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, simhash.SHARD, dtype=np.uint64))
+    forest = simhash.Forest(prints, np.zeros(len(prints), np.int64))
+    assert sum(len(a) for a, _ in forest.links(2)) == 0
+    assert forest.walked < 0.4 * len(prints) ** 2
+
+
 def test_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     got = {r["id"]: r["label"] for r in connected_components(chain).collect()}
