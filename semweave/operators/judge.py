@@ -15,9 +15,16 @@ from semweave.config import SemConfig
 from semweave.decision import CHOICE, SCORE, Decision
 from semweave.operators.scorers import is_native
 
-RECORD = ("__input",)
-PAIR = ("__left", "__right")
-ASKED = "p double, label string, score double, verdict boolean, status string, batch string, tokens long, retries long, micros long"
+#: Columns of a question on its way to the judge, and of the key by which its answer is found again.
+RECORD = ("input",)
+PAIR = ("left_input", "right_input")
+RECORD_KEY = ("k1", "k2")
+PAIR_KEY = ("l1", "l2", "r1", "r2")
+ASKED = "p double, label string, score double, verdict boolean, status string, batch string, tokens long, retries long, micros long, sends long, clients long, reuses long"
+
+
+#: What a local scorer sends: nothing.
+NO_TRAFFIC = {"tokens": 0, "retries": 0, "micros": 0, "sends": 0, "clients": 0, "reuses": 0}
 
 
 class AnswerError(RuntimeError):
@@ -25,18 +32,16 @@ class AnswerError(RuntimeError):
 
 
 def keys_of(decision: Decision) -> tuple[str, ...]:
-    return PAIR if decision.pairwise else RECORD
+    return PAIR_KEY if decision.pairwise else RECORD_KEY
 
 
-def texts_of(decision: Decision, n_fields: int) -> list[Column]:
+def sides_of(decision: Decision, inputs: Sequence[Column], n_fields: int) -> list[Column]:
     """Texts that a native scorer sees: both sides, or the values of the record's fields."""
-    if decision.pairwise:
-        return [F.col(c) for c in PAIR]
-    return [F.col(RECORD[0])[i]["value"] for i in range(n_fields)]
+    return list(inputs) if decision.pairwise else [inputs[0][i]["value"] for i in range(n_fields)]
 
 
-def native_answer(decision: Decision, scorer: Any, n_fields: int) -> Column:
-    return scorer.answer(decision, texts_of(decision, n_fields))
+def native_answer(decision: Decision, scorer: Any, texts: Sequence[Column]) -> Column:
+    return scorer.answer(decision, texts)
 
 
 def checked(decision: Decision, value: Any, second: bool = False) -> dict[str, Any]:
@@ -71,14 +76,16 @@ def questions(decision: Decision, rows: pd.DataFrame) -> list[Any]:
     return [[(f["name"], f["value"]) for f in r] for r in rows[RECORD[0]]]
 
 
-def ask_batches(inputs: DataFrame, decision: Decision, scorer: Any, config: SemConfig, second: bool = False) -> DataFrame:
-    """One row an input: its keys, its answer, its batch. A batch scorer runs as a plan node of its own, which no filter can
-    be pushed through, so each distinct input is asked once; ``persist`` keeps the answers for all their uses."""
-    keys = keys_of(decision)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in inputs.select(*keys).schema.fields)}, {ASKED}"
+def ask_batches(inputs: DataFrame, decision: Decision, scorer: Any, config: SemConfig, second: bool = False, keep: bool = False) -> DataFrame:
+    """One row an input: its key, its answer, its batch, and its texts if they are to be kept. A batch scorer runs as a plan
+    node of its own, which no filter can be pushed through, so each distinct input is asked once; ``persist`` keeps the
+    answers for all their uses."""
+    keys, texts = keys_of(decision), PAIR if decision.pairwise else RECORD
+    dealt = inputs.select(*keys, *texts)
+    left = keys + (texts if keep else ())
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in dealt.select(*left).schema.fields)}, {ASKED}"
     size = config.cascade_batch_size if second else config.k
     plan = getattr(scorer, "plan", None)
-    dealt = inputs.select(*keys)
     if plan is not None:
         dealt, how = plan(dealt, decision, config, second)
     else:
@@ -101,10 +108,10 @@ def ask_batches(inputs: DataFrame, decision: Decision, scorer: Any, config: SemC
                     answers = scorer.ask(decision, batch)
                     if len(answers) != len(batch):
                         raise AnswerError(f"{len(answers)} answers to {len(batch)} questions")
-                    rows += [checked(decision, a, second) | {"batch": f"{n}-{at}", "tokens": 0, "retries": 0, "micros": 0} for a in answers]
+                    rows += [checked(decision, a, second) | {"batch": f"{n}-{at}", **NO_TRAFFIC} for a in answers]
             if any(r["status"] == "failed" for r in rows) and config.on_error == "error":
                 raise AnswerError("a question has no answer")
-            out = part.reset_index(drop=True)
+            out = part[list(left)].reset_index(drop=True)
             answers = pd.DataFrame(rows, columns=[c.split()[0] for c in ASKED.split(", ")])
             yield pd.concat([out, answers], axis=1)
 
@@ -125,11 +132,4 @@ def ask_list(asked: list[Any], decision: Decision, scorer: Any, config: SemConfi
     return out
 
 
-def present(keys: Sequence[str]) -> Column:
-    out = F.col(keys[0]).isNotNull()
-    for k in keys[1:]:
-        out = out & F.col(k).isNotNull()
-    return out
-
-
-__all__ = ["AnswerError", "RECORD", "PAIR", "ask_batches", "ask_list", "checked", "is_native", "keys_of", "native_answer", "present", "questions", "texts_of"]
+__all__ = ["AnswerError", "RECORD", "PAIR", "ask_batches", "ask_list", "checked", "is_native", "keys_of", "native_answer", "questions", "sides_of"]

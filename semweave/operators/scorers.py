@@ -70,10 +70,11 @@ class SharedPrefixScorer:
         if not decision.pairwise:
             raise ValueError("the shared-prefix scorer takes pairs")
         a, b = (F.hex(t.cast("binary")) for t in texts)
-        n = (F.least(F.length(a), F.length(b)) / 2).cast("int")
-        places = F.filter(F.sequence(F.lit(0), n), lambda i: F.substring(a, 1, (i * 2).cast("int")) == F.substring(b, 1, (i * 2).cast("int")))
+        # the first place, from 1, where the digits differ; the shorter text ends in nulls
+        first = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y)), F.lit(False))
         longer = F.greatest(F.length(a), F.length(b)) / 2
-        return F.when(longer == 0, F.lit(1.0)).otherwise(F.array_max(places).cast("double") / longer)
+        same = F.when(first == 0, longer).otherwise(F.floor((first - 1) / 2))
+        return F.when(longer == 0, F.lit(1.0)).otherwise(same.cast("double") / longer)
 
 
 @dataclass(frozen=True)

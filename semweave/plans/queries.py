@@ -168,17 +168,23 @@ def join_anti(spark, sf_dir):
     return session(spark, BATCH).join(c, b, "one of them laughs", "heard", "item", how="anti", on=F.col("item_id") % 10 == F.col("turn")).select("conv_id", "turn")
 
 
-@q(
-    "SELECT a.doc_id AS a_id, b.doc_id AS b_id FROM documents a, documents b WHERE a.doc_id < 20 AND b.doc_id < 20 AND a.doc_id < b.doc_id AND a.lang = b.lang AND "
-    "(SELECT max(i) FROM range(0, 1000) t(i) WHERE i <= least(strlen(a.source), strlen(b.source)) AND left(a.source, i::INT) = left(b.source, i::INT))::DOUBLE / greatest(strlen(a.source), strlen(b.source)) >= 0.8"
-)
+PREFIX_SQL = "(SELECT max(i) FROM range(0, 1000) t(i) WHERE i <= least(strlen(a.source), strlen(b.source)) AND left(a.source, i::INT) = left(b.source, i::INT))::DOUBLE / greatest(strlen(a.source), strlen(b.source))"
+
+
+@q(f"WITH d AS (SELECT DISTINCT lang, source FROM documents) SELECT a.lang, a.source AS a_source, b.source AS b_source FROM d a, d b WHERE a.lang = b.lang AND a.source < b.source AND {PREFIX_SQL} >= 0.5")
 def join_prefix_scorer(spark, sf_dir):
-    """A custom scorer on pairs; the small table of its inputs is the query's own."""
-    d = table(spark, sf_dir, "documents").where("doc_id < 20")
-    a = d.select(F.col("doc_id").alias("a_id"), F.col("lang").alias("a_lang"), F.col("source").alias("a_source"))
-    b = d.select(F.col("doc_id").alias("b_id"), F.col("lang").alias("b_lang"), F.col("source").alias("b_source"))
-    sem = session(spark, SharedPrefixScorer(), threshold=0.8)
-    return sem.join(a, b, "same origin", "a_source", "b_source", on=(F.col("a_id") < F.col("b_id")) & (F.col("a_lang") == F.col("b_lang"))).select("a_id", "b_id")
+    """A custom scorer on pairs, a frame joined with itself: all distinct sources of each language."""
+    d = table(spark, sf_dir, "documents").select("lang", "source").distinct()
+    sem = session(spark, SharedPrefixScorer(), threshold=0.5)
+    out = sem.join(d, d, "same origin", "source", "source", on=(F.col("l.lang") == F.col("r.lang")) & (F.col("l.source") < F.col("r.source")))
+    return out.select("l.lang", F.col("l.source").alias("a_source"), F.col("r.source").alias("b_source"))
+
+
+@q(f"SELECT a.conv_id, a.turn, b.turn AS next FROM conversations a, conversations b WHERE a.conv_id = b.conv_id AND a.turn < b.turn AND (contains(lower(a.text), '{TOKEN}') OR contains(lower(b.text), '{TOKEN}'))")
+def self_join(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    out = session(spark, BATCH).join(c, c, "one of them laughs", "text", "text", on=(F.col("l.conv_id") == F.col("r.conv_id")) & (F.col("l.turn") < F.col("r.turn")))
+    return out.select("l.conv_id", "l.turn", F.col("r.turn").alias("next"))
 
 
 KEYS_SQL = """
@@ -234,6 +240,24 @@ def reduce_two_sides(spark, sf_dir):
     return tree.frame().select("item_id", "conv_id", "turn")
 
 
+@q(f"SELECT item_id, conv_id, turn, label FROM (SELECT c.conv_id, c.turn, b.item_id FROM conversations c, benchmark b WHERE {PAIR_SQL}) x JOIN (SELECT DISTINCT nullif(quality, 1) AS label FROM labels) l ON l.label IS NOT DISTINCT FROM nullif(x.item_id % 5, 4)")
+def reduce_null_safe(spark, sf_dir):
+    """A null-safe join above a semantic join moves into the input that it restricts; NULL meets NULL."""
+    c, b = talk(spark, sf_dir)
+    b = b.withColumn("k", F.when(F.col("item_id") % 5 != 4, F.col("item_id") % 5))
+    labels = table(spark, sf_dir, "labels").select(F.when(F.col("quality") != 1, F.col("quality")).cast("bigint").alias("label")).distinct()
+    tree = query(session(spark, BATCH), b).sem_join(c, "one of them laughs", "item", "said").join(labels, [("k", "label")], null_safe=True)
+    return tree.frame().select("item_id", "conv_id", "turn", F.col("label").cast("int").alias("label"))
+
+
+@q(f"SELECT item_id, conv_id, turn FROM conversations c, benchmark b WHERE ({PAIR_SQL}) AND conv_id % 2 = 0 AND item_id > 10")
+def volatile_not_moved(spark, sf_dir):
+    """Plain conditions go below the semantic join whatever their case; a volatile one that is always true stays above it."""
+    c, b = talk(spark, sf_dir)
+    tree = query(session(spark, BATCH), b).sem_join(c, "one of them laughs", "item", "said").where("CONV_ID % 2 = 0").where("rand() < 2").where("item_id > 10")
+    return tree.frame().select("item_id", "conv_id", "turn")
+
+
 @q(f"SELECT doc_id, n_chars, {P} AS p FROM documents ORDER BY n_chars DESC, doc_id LIMIT 100")
 def topn_deferred(spark, sf_dir):
     """The limit is taken before the decision."""

@@ -36,23 +36,29 @@ def choose_anchor(anchor: str, left: int, right: int, left_bytes: int, right_byt
     return "left" if (left, -left_bytes) <= (right, -right_bytes) else "right"
 
 
-def cut(order: Sequence[int], size: Callable[[int], int], k: int, budget: float, start: int = 0) -> list[tuple[int, ...]]:
+NO_MORE: Callable[[str], int] = lambda text: 0
+
+
+def cut(order: Sequence[int], size: Callable[[int], int], k: int, budget: float, start: int = 0, more: Callable[[int], int] = lambda i: 0, start_more: int = 0) -> list[tuple[int, ...]]:
     """Greedy cuts: a batch ends before the item that would exceed k items, the token budget or the byte limit; an item that
-    exceeds them alone is still sent."""
+    exceeds them alone is still sent. ``more`` are bytes beside the text, those of images."""
     out: list[tuple[int, ...]] = []
     batch: list[int] = []
-    used = start
+    used, heavy = start, start_more
     for i in order:
-        n = size(i)
-        if batch and (len(batch) == k or (used + n) / BYTES_PER_TOKEN > budget or used + n > MAX_BYTES):
+        n, m = size(i), more(i)
+        if batch and (len(batch) == k or (used + n) / BYTES_PER_TOKEN > budget or used + n + heavy + m > MAX_BYTES):
             out.append(tuple(batch))
-            batch, used = [], start
+            batch, used, heavy = [], start, start_more
         batch.append(i)
         used += n
+        heavy += m
     return [*out, tuple(batch)] if batch else out
 
 
-def pair_batches(pairs: Sequence[tuple[str, str]], *, layout: str, anchor: str, k: int, budget: float, auto_min_group: int) -> list[Batch]:
+def pair_batches(
+    pairs: Sequence[tuple[str, str]], *, layout: str, anchor: str, k: int, budget: float, auto_min_group: int, more: Callable[[str], int] = NO_MORE
+) -> list[Batch]:
     if not pairs:
         return []
     lefts, rights = {a for a, _ in pairs}, {b for _, b in pairs}
@@ -61,7 +67,7 @@ def pair_batches(pairs: Sequence[tuple[str, str]], *, layout: str, anchor: str,
     if layout == "sep":
         return [Batch((i,), "both") for i in range(len(pairs))]
     if layout == "pack":
-        return [Batch(b) for b in cut(range(len(pairs)), both, k, budget)]
+        return [Batch(b) for b in cut(range(len(pairs)), both, k, budget, more=lambda i: more(pairs[i][0]) + more(pairs[i][1]))]
     side = choose_anchor(anchor, len(lefts), len(rights), sum(map(n_bytes, lefts)), sum(map(n_bytes, rights)))
     at = 0 if side == "left" else 1
     groups: dict[str, list[int]] = {}
@@ -69,14 +75,15 @@ def pair_batches(pairs: Sequence[tuple[str, str]], *, layout: str, anchor: str,
         groups.setdefault(p[at], []).append(i)
     out = []
     for text in sorted(groups, key=str.encode):
-        out += [Batch(b, side) for b in cut(groups[text], lambda i: n_bytes(pairs[i][1 - at]), k, budget, n_bytes(text))]
+        parts = cut(groups[text], lambda i: n_bytes(pairs[i][1 - at]), k, budget, n_bytes(text), lambda i: more(pairs[i][1 - at]), more(text))
+        out += [Batch(b, side) for b in parts]
     return out
 
 
-def record_batches(records: Sequence[Sequence[tuple[str, str]]], *, layout: str, k: int, budget: float, criteria: int) -> list[Batch]:
+def record_batches(records: Sequence[Sequence[tuple[str, str]]], *, layout: str, k: int, budget: float, criteria: int, more: Callable[[str], int] = NO_MORE) -> list[Batch]:
     """The criteria are counted for every record."""
     size = lambda i: criteria + sum(n_bytes(n) + n_bytes(v) for n, v in records[i])
-    return [Batch(b) for b in cut(range(len(records)), size, 1 if layout == "sep" else k, budget)]
+    return [Batch(b) for b in cut(range(len(records)), size, 1 if layout == "sep" else k, budget, more=lambda i: sum(more(v) for _, v in records[i]))]
 
 
 def even_batches(n: int, size: int, threads: int, fill: bool) -> int:

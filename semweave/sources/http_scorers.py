@@ -21,10 +21,25 @@ from semweave.config import SemConfig
 from semweave.decision import CHOICE, SCORE, Decision
 from semweave.operators.judge import PAIR, AnswerError, checked
 from semweave.sources.batching import Batch, choose_anchor, choose_layout, cut, even_batches, pair_batches, question_bytes, record_batches
-from semweave.sources.images import attach
+from semweave.sources.images import attach, budget_of
 from semweave.sources.transport import Client, Reply, post_with_retries
 
 
+#: Connections that a worker keeps between batches, the last one used at the end.
+CLIENTS = 8
+_clients: dict[tuple, Client] = {}
+
+
+def client_of(endpoint: str, timeout: float, ca: str) -> tuple[Client, int]:
+    """The worker's connection to an endpoint, and 1 if it is new."""
+    key = (endpoint, timeout, ca)
+    known = _clients.pop(key, None)
+    _clients[key] = known or Client(endpoint, timeout, ca)
+    if len(_clients) > CLIENTS:
+        del _clients[next(iter(_clients))]
+    return _clients[key], int(known is None)
+
+
 def env_key(name: str) -> Callable[[], str | None]:
     return lambda: os.environ.get(name)
 
@@ -74,7 +89,7 @@ class HttpScorer:
         def answer(asked: list[Any], n: str) -> list[dict]:
             out: list[dict | None] = [None] * len(asked)
             ca, timeout = (config.cascade_ca_cert_file, config.cascade_timeout) if second else (config.ca_cert_file, config.timeout)
-            client = Client(scorer.endpoint, timeout, ca)
+            client, created = client_of(scorer.endpoint, timeout, ca)
             for b, batch in enumerate(scorer.batches(decision, asked, config, how, second)):
                 body = json.dumps(scorer.body(decision, asked, batch, config, second), ensure_ascii=False).encode()
                 reply = scorer.send(client, body, config)
@@ -87,13 +102,18 @@ class HttpScorer:
                 if config.raw_dump_path:
                     dump(config.raw_dump_path, {"request": json.loads(body), "status": reply.status, "response": reply.body.decode("utf-8", "replace")})
                 for i, value in zip(batch.items, values, strict=True):
-                    out[i] = checked(decision, value, second) | {"batch": f"{n}-{b}", "tokens": tokens, "retries": reply.retries, "micros": reply.micros}
+                    out[i] = checked(decision, value, second) | {"batch": f"{n}-{b}", "tokens": tokens, "retries": reply.retries, "micros": reply.micros, "sends": reply.sent, "clients": created, "reuses": 1 - created}
                     if config.dump_path and not second:
                         dump(config.dump_path, {"question": asked[i], "answer": value})
+                created = 0
             return out  # type: ignore[return-value]
 
         return answer
 
+    def weigh(self, text: str) -> int:
+        """Bytes of the images that a text refers to."""
+        return budget_of(text, self.images) if self.images else 0
+
     def send(self, client: Client, body: bytes, config: SemConfig) -> Reply:
         key = self.key()
         headers = {"Authorization": f"Bearer {key}"} if key else {}
@@ -111,14 +131,16 @@ class DecisionScorer(HttpScorer):
 
     def batches(self, decision: Decision, asked: list[Any], config: SemConfig, how: dict, second: bool) -> list[Batch]:
         if decision.pairwise:
-            return pair_batches(asked, layout=how["layout"], anchor=how["anchor"], k=config.k, budget=config.budget_tokens, auto_min_group=config.auto_min_group)
-        return record_batches(asked, layout=how["layout"], k=config.k, budget=config.budget_tokens, criteria=len(json.dumps(decision.criteria)) if decision.criteria else 0)
+            return pair_batches(asked, layout=how["layout"], anchor=how["anchor"], k=config.k, budget=config.budget_tokens, auto_min_group=config.auto_min_group, more=self.weigh)
+        criteria = len(json.dumps(decision.criteria)) if decision.criteria else 0
+        return record_batches(asked, layout=how["layout"], k=config.k, budget=config.budget_tokens, criteria=criteria, more=self.weigh)
 
     def body(self, decision: Decision, asked: list[Any], batch: Batch, config: SemConfig, second: bool) -> dict:
         state: dict[str, Any] = {"condition": decision.condition}
         questions = {}
         for n, i in enumerate(batch.items):
             question: dict[str, Any] = {"type": decision.kind}
+            # fixed texts of the protocol
             text = "Does the condition hold?" if decision.kind == "noul" else "Which answer fits the condition?"
             if decision.pairwise:
                 left, right = asked[i]

@@ -81,6 +81,15 @@ def load(path: str) -> Image:
 _loaded: dict[str, Image] = {}
 
 
+def image(ref: str, paths: dict[str, str]) -> Image:
+    return _loaded.get(ref) or _loaded.setdefault(ref, load(paths[ref]))
+
+
+def budget_of(text: str, paths: dict[str, str]) -> int:
+    """Bytes that a batch reckons for the images a text refers to, repeated ones too."""
+    return sum(image(r, paths).budget for r in FOUND.findall(text) if r in paths)
+
+
 def attach(body: dict, paths: dict[str, str]) -> dict:
     """``body`` with the images that its texts refer to, each once."""
     refs = sorted(set(FOUND.findall(json.dumps(body))))
@@ -88,8 +97,8 @@ def attach(body: dict, paths: dict[str, str]) -> dict:
         return body
     assets = {}
     for r in refs:
-        image = _loaded.get(r) or _loaded.setdefault(r, load(paths[r]))
-        assets[r] = {"type": "image", "format": image.format, "data_base64": base64.b64encode(image.data).decode()}
+        found = image(r, paths)
+        assets[r] = {"type": "image", "format": found.format, "data_base64": base64.b64encode(found.data).decode()}
     out = body | {"assets": assets}
     if len(json.dumps(out)) > MAX_REQUEST:
         raise ValueError("a request with images is too large")

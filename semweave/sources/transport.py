@@ -27,6 +27,8 @@ class Reply:
     retries: int
     micros: int
     headers: dict[str, str] = field(default_factory=dict)
+    #: Microseconds of ``micros`` that were spent sending and receiving, not waiting for another try.
+    sent: int = 0
 
 
 def retry_after(value: str | None, now: float) -> float | None:
@@ -92,17 +94,17 @@ def post_with_retries(
     rng: Callable[[], float] = random.random,
 ) -> Reply:
     """The first reply that isn't worth another try, or the last one; a transport error on the last try is raised."""
-    began, tries = clock(), 0
+    began, tries, sent = clock(), 0, 0.0
     while True:
-        wait = None
+        wait, start = None, clock()
         try:
             status, body, headers = send()
-            if status != 429 and status < 500:
-                return Reply(status, body, tries, int((clock() - began) * 1e6), headers)
+            sent += clock() - start
+            if (status != 429 and status < 500) or tries >= max_retries:
+                return Reply(status, body, tries, int((clock() - began) * 1e6), headers, int(sent * 1e6))
             wait = retry_after(headers.get("retry-after"), clock())
-            if tries >= max_retries:
-                return Reply(status, body, tries, int((clock() - began) * 1e6), headers)
         except (OSError, http.client.HTTPException):
+            sent += clock() - start
             if tries >= max_retries:
                 raise
         back = min(max_delay, 2.0**tries) * (1 - rng() / 2)

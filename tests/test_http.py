@@ -211,3 +211,60 @@ def test_images(spark, service, tmp_path):
 def test_config_reaches_the_request():
     body = ChatScorer("http://x").body(D.score("q", ["a", "b"]), [[("f", "t")]], record_batches([[("f", "t")]], layout="pack", k=9, budget=9, criteria=0)[0], SemConfig(model="m"), False)
     assert body["model"] == "m" and body["response_format"]["json_schema"]["schema"]["properties"]["answers"]["items"]["maximum"] == 1
+
+
+def test_image_bytes_split_batches(tmp_path):
+    """Five images of 1568 x 1568 pixels: two, two and one a request; repeated references count each time."""
+    import zlib
+
+    from semweave.sources.batching import record_batches
+    from semweave.sources.images import REFERENCE, budget_of
+
+    def chunk(kind, data):
+        body = kind + data
+        return struct.pack(">I", len(data)) + body + struct.pack(">I", zlib.crc32(body))
+
+    rows = zlib.compress((b"\x00" + b"\xff\x00\x00" * 1568) * 1568)
+    path = tmp_path / "large.png"
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1568, 1568, 8, 2, 0, 0, 0)) + chunk(b"IDAT", rows) + chunk(b"IEND", b""))
+    ref = REFERENCE + "0" * 64
+    paths = {ref: str(path)}
+    more = lambda text: budget_of(text, paths)
+    records = [[("id", str(i)), ("photo", ref)] for i in range(5)]
+    cut = lambda **how: [len(b.items) for b in record_batches(records, layout="pack", k=100, budget=50_000, criteria=0, **how)]
+    assert cut(more=more) == [2, 2, 1] and cut() == [5]
+    pairs = [(f"left {i}", ref) for i in range(5)]
+    sizes = lambda layout, anchor: [len(b.items) for b in pair_batches(pairs, layout=layout, anchor=anchor, k=100, budget=50_000, auto_min_group=8, more=more)]
+    assert sizes("pack", "auto") == [2, 2, 1] and sizes("star", "right") == [5]
+
+
+def test_clients_are_kept_by_a_worker():
+    from semweave.sources import http_scorers
+
+    http_scorers._clients.clear()
+    one, new = http_scorers.client_of("http://a.invalid", 1.0, "")
+    again, old = http_scorers.client_of("http://a.invalid", 1.0, "")
+    assert one is again and (new, old) == (1, 0)
+    for i in range(http_scorers.CLIENTS):
+        http_scorers.client_of(f"http://{i}.invalid", 1.0, "")
+    assert http_scorers.client_of("http://a.invalid", 1.0, "")[1] == 1
+
+
+def test_services_by_setting(spark):
+    from semweave.sources.http_scorers import ChatScorer
+
+    sem = connect(spark, endpoint="http://a.invalid/v1", model="m", cascade_endpoint="http://b.invalid", cascade_model="n")
+    assert isinstance(sem.scorer, DecisionScorer) and (sem.scorer.endpoint, sem.scorer.model) == ("http://a.invalid/v1", "m")
+    assert isinstance(sem.second, ChatScorer) and sem.second.endpoint == "http://b.invalid"
+    assert isinstance(connect(spark, backend="llm", endpoint="http://a.invalid").scorer, ChatScorer)
+
+
+def test_media_needs_the_decision_service(spark):
+    from semweave.operators.scorers import KeywordScorer
+
+    df = spark.createDataFrame([(1, "x.png")], "id int, path string").withColumn("photo", media("image", "path"))
+    with pytest.raises(ValueError, match="decision service"):
+        connect(spark, scorer=KeywordScorer()).filter(df, "red", "photo")
+    cascade = connect(spark, scorer=DecisionScorer("http://a.invalid"), second=KeywordScorer(), cascade_model="m")
+    with pytest.raises(ValueError, match="cascade"):
+        cascade.join(df, df, "same", "photo", "photo")

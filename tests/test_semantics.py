@@ -51,9 +51,7 @@ def ids(df, name="id"):
 
 
 def stats(sem):
-    found = sem.stats().first().asDict()
-    sem.current.work.used = False  # settled
-    return found
+    return sem.stats().first().asDict()
 
 
 def test_filter_forms(sem, reviews):
@@ -219,7 +217,6 @@ def test_reduction_changes_no_rows(spark, how):
                 df = query(sem, rep).sem_join(pln, "p", "rtext", "ptext").join(other, on, how, null_safe).frame()
                 rows = sorted(map(repr, df.collect()))
                 got.setdefault(name, []).append((rows, sem.current.work.settled().known["pairs"]))
-                sem.current.work.used = False
     for name, ((a, few), (b, many)) in got.items():
         assert a == b and few <= many
         if how != "left_anti":
@@ -249,11 +246,95 @@ def test_chains_of_joins_are_reduced(spark):
                     tree = tree.join(other, on, how)
                 rows = sorted(map(repr, tree.frame().collect()))
                 got.append((rows, sem.current.work.settled().known["pairs"]))
-                sem.current.work.used = False
         assert got[0][0] == got[1][0] and got[0][0], name
         assert (got[0][1], got[1][1]) == (pairs[name], 240), name
 
 
+def test_user_columns_keep_their_names_and_values(sem, spark):
+    """Columns named like anything an operator might add."""
+    odd = ["input", "__input", "__value", "taken", "key0_0", "k1_0", "l1_0", "left_0", "value_0", "token_a", "holds"]
+    rows = [(i, t, *(f"{n}{i}" for n in odd)) for i, t in ((1, "good"), (2, "bad"), (3, None))]
+    df = spark.createDataFrame(rows, "id int, t string, " + ", ".join(f"`{n}` string" for n in odd))
+    for got in (sem.filter(df, "p", "t"), sem.filter_or(df, F.col("id") == 1, "p", "t"), sem.join(df, spark.createDataFrame([("u",)], "u string"), "p", "t", "u").drop("u")):
+        assert got.columns == df.columns and [tuple(r) for r in got.collect()] == rows[:1]
+    got = sem.with_decisions(df, p=sem.probability("p", "t"), value=sem.holds("p", "t"))
+    assert got.columns == [*df.columns, "p", "value"]
+    assert sorted(tuple(r)[:-2] for r in got.collect()) == rows
+
+
+def test_self_joins(sem, spark):
+    df = spark.createDataFrame([(1, "good a", ["x"]), (2, "b", ["x"]), (3, "c", None), (4, None, ["x"])], "id int, t string, k array<string>")
+    pairs = lambda out: sorted((r[0], r[1]) for r in out.select("l.id", "r.id").collect())
+    assert pairs(sem.join(df, df, "p", "t", "t", on=F.col("l.id") < F.col("r.id"))) == [(1, 2), (1, 3)]
+    assert pairs(sem.join(df, df.where("id > 1"), "p", "t", "t")) == [(1, 2), (1, 3)]
+    assert pairs(sem.join(df, df, "p", "t", "t", keys=[("k", "k")])) == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1)]
+    assert ids(sem.join(df, df, "p", "t", "t", how="semi", on=F.col("l.id") > F.col("r.id"))) == [2, 3]
+    assert ids(sem.join(df, df, "p", "t", "t", how="anti", on=F.col("l.id") > F.col("r.id"))) == [1, 4]
+
+
+def test_closing_a_run_starts_no_job(sem, spark):
+    a = spark.range(300).selectExpr("id", "concat('good ', id) as t")
+    spark.sparkContext.setJobGroup("close", "close")
+    try:
+        sem.join(a, a, "p", "t", "t").select("l.id")
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("close"))
+        sem.close()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("close")) == before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    found = sem.stats().first()  # after the run, and without making the product
+    assert (found["pairs"], found["cross_product_pairs"], found["cache_hits"]) == (90000, 90000, 0)
+
+
+def test_decisions_of_one_question_share_a_join(spark, reviews):
+    sem = connect(spark, scorer=BATCH)
+    out = sem.with_decisions(reviews, a=sem.holds("p", "review"), b=sem.probability("p", "review"), c=sem.holds("p", "review", options={"threshold": 0.95}))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1
+    assert {r["id"]: (r["a"], r["b"], r["c"]) for r in out.collect()} == {1: (True, 0.9, False), 2: (False, 0.1, False), 3: (True, 0.9, False), 4: (None, None, None), 5: (True, 0.9, False), 6: (False, 0.1, False)}
+
+
+def test_conditions_are_resolved_by_analysis(spark):
+    a = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} {i}") for i in range(20)], "rid int, `text of it` string")
+    b = spark.createDataFrame([(i, f"u{i}") for i in range(5)], "pid int, u string")
+    sem = connect(spark, scorer=KeywordScorer())
+    tree = query(sem, a).sem_join(b, "p", "`text of it`", "u")
+    got = tree.where("RID < 10 and length(`text of it`) > 0").optimized()
+    assert type(got).__name__ == "SemJoin" and type(got.left).__name__ == "Where"
+    assert tree.where("RID < 10").frame().count() == 25
+    decided = query(sem, a).decide("p", sem.probability("q", "`text of it`"))
+    assert decided.where("P > 0.5 and 'rid' <> 'p'").frame().count() == 10
+    assert type(decided.where("Rid > 3").optimized()).__name__ == "Decide"
+
+
+def test_volatile_conditions_and_relations_stay(spark):
+    a = spark.range(40).selectExpr("id as rid", "concat('good ', id) as rtext")
+    b = spark.range(30).selectExpr("id as pid", "concat('plan ', id) as ptext")
+    ok = spark.createDataFrame([(1, 2), (3, 4), (3, 4), (5, None)], "x bigint, y bigint")
+    sem = connect(spark, scorer=KeywordScorer())
+    tree = query(sem, a).sem_join(b, "p", "rtext", "ptext")
+    kept = tree.where("rand(1) < 0.1")
+    assert type(kept.optimized()).__name__ == "Where"
+    assert len({r["rid"] for r in kept.frame().collect()}) > 20
+    on = [("rid", "x"), ("pid", "y")]
+    stable = {"plain": ok, "grouped": ok.groupBy("x", "y").agg(F.count("*").alias("n")), "distinct": ok.distinct(), "least": ok.groupBy("x").agg(F.min("y").alias("y"))}
+    for name, other in stable.items():
+        assert tree.join(other, on).optimized().reduced, name
+    volatile = {
+        "random": ok.withColumn("y", F.col("y") + (F.rand() * 0).cast("int")),
+        "limit": ok.limit(2),
+        "sample": ok.sample(0.5, seed=1),
+        "any": ok.groupBy("x").agg(F.first("y").alias("y")),
+        "rounded": ok.groupBy("x").agg(F.max("y").alias("y"), F.sum(F.col("y") * 0.1).alias("s")),
+        "python": ok.mapInPandas(lambda parts: parts, ok.schema),
+    }
+    for name, other in volatile.items():
+        got = tree.join(other, on).optimized()
+        assert got == tree.join(other, on).node, name
+    decided = tree.join(query(sem, ok.withColumn("note", F.lit("good"))).sem_filter("open", "note"), on)
+    assert decided.optimized() == decided.node
+
+
 def test_shared_prefix(spark):
     df = spark.createDataFrame([("abcd", "abxy"), ("", ""), ("é", "è"), ("same", "same"), ("a", "")], "a string, b string")
     sem = connect(spark, scorer=SharedPrefixScorer())
@@ -312,3 +393,39 @@ def test_sql_functions(spark, reviews, kind):
     assert sql("select id, sem_probability('p', review), not sem_holds('p', review) from sem_reviews where id in (2, 3, 4) order by id") == [(2, 0.1, True), (3, 0.9, False), (4, None, None)]
     assert sql("select sem_choose('q', review, array('film', 'plot')), sem_score('q', review || '!', array('a', 'b', 'c')) from sem_reviews where id = 5") == [("plot", 1.0)]
     assert sql("select a.id, b.id from sem_reviews a join sem_reviews b on a.id < b.id and b.id < 4 where sem_holds_pair('p', a.review, b.review) order by 1, 2") == [(1, 2), (1, 3), (2, 3)]
+
+
+@pytest.mark.parametrize("kind", ["native", "batch"])
+def test_sql_options_and_structs(spark, reviews, kind):
+    from semweave.functions.sql import register, register_batch
+
+    register(spark) if kind == "native" else register_batch(spark, BATCH)
+    reviews.createOrReplaceTempView("sem_reviews")
+    sql = lambda q: [tuple(r) for r in spark.sql(q).collect()]
+    assert sql("select id from sem_reviews where sem_holds('p', review, map('threshold', '0.95'))") == []
+    assert sql("select id from sem_reviews where sem_holds('p', review, map('Threshold', '0.05')) order by id") == [(1,), (2,), (3,), (5,), (6,)]
+    assert sql("select sem_holds_pair('p', review, 'good', map('threshold', '0.9')) from sem_reviews where id = 2") == [(True,)]
+    with pytest.raises(Exception, match="unknown option"):
+        sql("select sem_holds('p', review, map('nope', '1')) from sem_reviews")
+    if kind == "batch":
+        assert sql("select id, sem_probability('p', struct(id, review)) from sem_reviews where id > 3 order by id") == [(4, None), (5, 0.9), (6, 0.1)]
+    else:
+        with pytest.raises(ValueError, match="no SQL form"):
+            register(spark, SharedPrefixScorer())
+
+
+def test_answers_do_not_outlive_their_query(spark, reviews, tmp_path):
+    from semweave.functions.sql import register_batch
+
+    log = tmp_path / "asked"
+
+    def noting(decision, batch):
+        with open(log, "a") as f:
+            f.writelines("x\n" for _ in batch)
+        return ask(decision, batch)
+
+    register_batch(spark, BatchScorer("noting sql", noting))
+    reviews.coalesce(1).createOrReplaceTempView("sem_reviews")
+    for n in (1, 2):
+        spark.sql("select sem_probability('p', review) from sem_reviews").collect()
+        assert len(log.read_text().splitlines()) == 4 * n
