@@ -123,12 +123,13 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.length(w) >= 4)
 
 
-def features(text: Column) -> Column:
-    """``FEATURES`` features of the text, each of ``HASHES`` least hashes of its three-word shingles."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    hashes = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
-    least = lambda k: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, k)))
-    return F.transform(F.sequence(F.lit(0), F.lit(FEATURES - 1)), lambda b: F.xxhash64(b, *(least(b * HASHES + i) for i in range(HASHES))))
+def features(texts: DataFrame) -> DataFrame:
+    """(row, k, f): ``FEATURES`` features of each text of ``texts`` (row, words), a written table."""
+    shingle = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
+    least = [F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(FEATURES * HASHES)]
+    found = texts.select("row", F.explode(shingle).alias("h")).groupBy("row").agg(*least)
+    own = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * HASHES + i}" for i in range(HASHES))) for b in range(FEATURES)))
+    return found.select("row", F.posexplode(own).alias("k", "f"))
 
 
 def revealing_terms(rows: DataFrame) -> DataFrame:
@@ -143,10 +144,11 @@ def revealing_terms(rows: DataFrame) -> DataFrame:
     known = stage_table(known.where((F.col("low") != F.col("high")) & (F.col("n_e") * 2**MIN_BITS <= total)).select("entity", "n_e"), "entities")
     links = stage_table(each.select("row", "entity").join(broadcast_if_small(known.select("entity")), "entity"), "entity-rows")
     hit = broadcast_if_small(stage_table(links.select("row").distinct(), "rows-with-entities"))
-    texts = stage_table(with_any.join(hit, "row", "left_semi").select("row", terms_of(F.col("text")).alias("terms"), features(F.col("text")).alias("features")), "entity-texts")
+    words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
+    texts = stage_table(with_any.join(hit, "row", "left_semi").select("row", terms_of(F.col("text")).alias("terms"), words.alias("words")), "entity-texts")
 
     # classes of copies: the smallest row with one of the row's features
-    marks = stage_table(links.join(texts.select("row", F.posexplode("features").alias("k", "f")), "row"), "entity-features")
+    marks = stage_table(links.join(features(texts), "row"), "entity-features")
     first = stage_table(marks.groupBy("entity", "k", "f").agg(F.min("row").alias("first")), "first-copies")
     classes = stage_table(marks.join(first, ["entity", "k", "f"]).groupBy("entity", "row").agg(F.min("first").alias("class")), "copies")
 
