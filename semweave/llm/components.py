@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semweave.llm.shared import stage_table
+from semweave.llm.shared import drop_staged, stage_table
 
 
 def connected_components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -27,5 +27,9 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
         both = own.select("id", F.col("new")).union(own.select(F.col("label").alias("id"), "new"))
         hooked = stage_table(both.groupBy("id").agg(F.min("new").alias("label")), f"{name}-hooked")
         up = hooked.select(F.col("id").alias("up"), F.col("label").alias("jump"))
+        done = (labels, near, hooked)
         labels = stage_table(hooked.join(up, hooked.label == up.up).select("id", F.least("label", "jump").alias("label")), f"{name}-{n}")
+        for table in done:
+            drop_staged(table)
+    drop_staged(edges)
     return labels

@@ -147,3 +147,41 @@ def test_links_between_non_leaders(spark):
     sets = [shingles(t) for t in texts]
     assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == list(range(0, 800, 2))
+
+
+#: Names that an operator might use for columns of its own, in any case.
+ODD = ("k0", "c1", "C2", "key_k0", "key_c1", "node", "label", "ledger", "Ledger_n_words", "n_words", "fail_bits", "suspect", "row", "whole", "redacted", "spans", "hits", "kept", "fp", "sketch", "a.b")
+
+
+def test_clashing_names(spark, tmp_path):
+    """Every stage returns the columns that it got, with the user's values, whatever they are called."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    texts = [prose(90) for _ in range(4)]
+    texts += [texts[0], texts[1] + ' token = "abcdefgh1234"']
+    rows = [(i, t, "en", "s", len(t), *(f"{n}-{i}" for n in ODD)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in ODD))
+    spark.createDataFrame([(0, "another passage that stands nowhere in the documents at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {0: [0, 1, 2, 3, 4, 5], 1: [0, 1, 2, 3], 2: [0, 1, 2, 3], 3: [0, 1, 2, 3]}
+    for k, want in kept.items():
+        docs = corpus_pipeline.STAGES[k][1](spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *ODD]
+        assert sorted((tuple(r) for r in docs.collect()), key=lambda r: r[0]) == [rows[i] for i in want]
+    assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).count() == 4
+
+
+def test_very_long_text(spark, tmp_path):
+    """A text of four million characters goes through every stage whole."""
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(50000)]
+    words = [rng.choice(vocabulary) for _ in range(600_000)]
+    words[300_000:300_000] = ["token", "=", "abcdefgh1234"]
+    text, passage = " ".join(words), " ".join(rng.choice(vocabulary) for _ in range(40))
+    other = words[::-1]
+    docs = spark.createDataFrame([(0, text), (1, text + " end"), (2, " ".join([*other[:500_000], passage, *other[500_000:]]))], "doc_id long, text string")
+    spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for k, want in enumerate(([0, 1, 2], [0, 2], [0], [0], [0])):
+        docs = corpus_pipeline.STAGES[k][1](spark, docs, str(tmp_path))
+        assert sorted(r["doc_id"] for r in docs.select("doc_id").collect()) == want
+        if k == 3:
+            assert docs.first()["text"] == text.replace("token = abcdefgh1234", "[SECRET]")
