@@ -56,6 +56,9 @@ class ForcedBoundaryBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
+        if model.get("type") != "BPE" or odd or spec.get("decoder"):
+            raise ValueError(f"not a plain byte-level BPE file without decoder: {', '.join([model.get('type', ''), *odd, *(['decoder'] if spec.get('decoder') else [])])}")
         self.end = end = model.get("end_of_word_suffix") or ""
         vocab: dict[str, int] = model["vocab"]
         # merge of two ids -> rank << 32 | new id

@@ -1,6 +1,7 @@
 """Secret scan, quality ledger, BPE codec, licence scan, PII and shards against plain Python."""
 
 import hashlib
+import json
 import random
 import re
 import string
@@ -130,6 +131,16 @@ def test_bpe(spark, rows, table_dir):
         assert r["decoded_sha256"] == sha(t.decode(ids, skip_special_tokens=False))
 
 
+def test_other_tokenizer_files_are_refused(tmp_path):
+    with open(bpe_codec.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"decoder": {"type": "ByteLevel"}}, {"model": spec["model"] | {"byte_fallback": True}}, {"model": {"type": "Unigram"}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="plain byte-level BPE"):
+            bpe_codec.ForcedBoundaryBPE(str(path))
+
+
 def test_forced_boundaries_are_certain():
     from tokenizers import Tokenizer
 
