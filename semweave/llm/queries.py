@@ -9,6 +9,9 @@ from semweave.llm import bpe_codec, decontaminate, edit_counts, kd_shards, licen
 from semweave.llm.arrow_rows import span_count, span_text
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -109,13 +112,37 @@ def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_pii(spark, sf_dir).drop("spans", "n_term")
 
 
+def benchmark_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of ``op4_decontaminate`` whose whole item stands in the document, letter for letter."""
+    shown = lambda c: F.trim(F.regexp_replace(F.translate(c, UPPER, UPPER.lower()), r"[ \t\n\x0B\f\r]+", " "))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", shown(F.col("text")).alias("item"))
+    docs = documents(spark, sf_dir).select("doc_id", shown(F.col("text")).alias("shown"))
+    hits = op4_decontaminate(spark, sf_dir).select("doc_id", "item_id")
+    return docs.join(hits, "doc_id").join(items, "item_id").where(F.col("shown").contains(F.col("item"))).select("doc_id", "item_id")
+
+
+def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op8_kd_shards`` promises: every row once, gapless slots, bytes near equal (2 %, or the largest document)."""
+    placed = op8_kd_shards(spark, sf_dir)
+    shards = placed.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last"), F.max("size").alias("most"))
+    mean = F.sum("bytes") / F.lit(24)
+    off = F.greatest(F.max("bytes") - mean, mean - F.min("bytes"))
+    return shards.agg(
+        F.count(F.lit(1)).alias("n_shards"),
+        F.sum("n").alias("n_rows"),
+        F.sum("bytes").alias("bytes"),
+        F.bool_and((F.col("n") == F.col("slots")) & (F.col("last") == F.col("n") - 1)).alias("gapless"),
+        (off <= F.greatest(mean * 0.02, F.max("most"))).alias("near_equal"),
+    )
+
+
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the full policy costs, from the ledger's distinct masks."""
     return quality.ablate(quality.rule_ledger(documents(spark, sf_dir)), quality.STRICT)
 
 
 OPERATORS = (op1_secret_scan, op2_simhash_dedup, op3_edit_token_counts, op4_decontaminate, op5_quality_rules, op6_bpe_codec, op7_substring_dedup, op8_kd_shards, op9_license_scan, op10_pii)
-QUERIES = {f.__name__: f for f in (*OPERATORS, secret_scan_base, license_scan_base, pii_base, quality_ablation)}
+QUERIES = {f.__name__: f for f in (*OPERATORS, secret_scan_base, license_scan_base, pii_base, quality_ablation, benchmark_exact, shard_law)}
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
@@ -155,6 +182,7 @@ PII = {
     "card": (r"[0-9]([\x20-]?[0-9])+", f"len({DIGITS}) BETWEEN 14 AND 19 AND {LUHN}"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"len({DIGITS}) BETWEEN 10 AND 15"),
 }
+SHOWN = r"trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+', ' ', 'g'))"
 LICENSE_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 PLACES = " UNION ALL ".join(
     f"SELECT rid, i, '{label}' AS label FROM d, unnest(range(1, len(w) + 1)) AS u(i) WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
@@ -178,6 +206,8 @@ f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
 ORACLES: dict[str, str] = {
     "op5_quality_rules": f"""{LEDGER}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f""",
+    "benchmark_exact": f"SELECT doc_id, item_id FROM (SELECT doc_id, {SHOWN.format('text')} AS s FROM documents) d, (SELECT item_id, {SHOWN.format('text')} AS i FROM benchmark) b WHERE contains(s, i)",
+    "shard_law": "SELECT 24::BIGINT AS n_shards, count(*) AS n_rows, sum(strlen(coalesce(text, '')) + 8)::BIGINT AS bytes, true AS gapless, true AS near_equal FROM documents",
     "quality_ablation": f"""{LEDGER}
 SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_failed_alone, count(*) FILTER (fail_bits & ~bit = 0) AS n_kept_without
 FROM f, (VALUES {", ".join(f"('{r}', {1 << i}::BIGINT)" for i, r in enumerate(quality.RULES))}) AS r(rule, bit) GROUP BY rule""",
