@@ -369,3 +369,94 @@ def ordinary_join_aggregate(spark, sf_dir):
 @q("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%'")
 def ordinary_except(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey").exceptAll(table(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select(F.col("o_custkey").alias("c_custkey")).distinct()).distinct()
+
+
+@q(f"WITH laughing AS (SELECT doc_id, lang FROM documents WHERE {P} >= 0.5), longest AS (SELECT lang, max(doc_id) AS last FROM laughing GROUP BY lang) SELECT l.lang, count(*) AS n, any_value(last) AS last FROM laughing l JOIN longest USING (lang) GROUP BY l.lang")
+def cte_decision(spark, sf_dir):
+    """A common table expression with a decision, read twice."""
+    register(spark, SCORER)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("sem_documents")
+    return spark.sql(
+        "WITH laughing AS (SELECT doc_id, lang FROM sem_documents WHERE sem_holds('mentions laughter', text)), longest AS (SELECT lang, max(doc_id) AS last FROM laughing GROUP BY lang) "
+        "SELECT l.lang, count(*) AS n, any_value(last) AS last FROM laughing l JOIN longest USING (lang) GROUP BY l.lang"
+    )
+
+
+@q(f"SELECT doc_id, n_chars, {P} AS p FROM documents ORDER BY n_chars DESC, doc_id LIMIT 30 OFFSET 7")
+def topn_offset(spark, sf_dir):
+    """With an offset the limit isn't moved below the decision; the rows are the same."""
+    sem = session(spark, BATCH)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text")
+    return query(sem, docs).decide("p", sem.probability("mentions laughter", "text")).top([("n_chars", False), ("doc_id", True)], 30, 7).frame().select("doc_id", "n_chars", "p")
+
+
+@q(f"SELECT lang FROM documents WHERE {P} >= 0.5 INTERSECT SELECT lang FROM documents WHERE NOT ({P} >= 0.5)")
+def intersect_decisions(spark, sf_dir):
+    sem = session(spark)
+    docs = sem.with_decisions(table(spark, sf_dir, "documents"), h=sem.holds("mentions laughter", "text"))
+    return docs.where("h").select("lang").intersect(docs.where("not h").select("lang"))
+
+
+@q(f"SELECT {LABEL} AS label, lang, count(*) AS n FROM documents GROUP BY CUBE (1, 2)")
+def cube_label(spark, sf_dir):
+    return labelled(spark, sf_dir).cube("label", "lang").agg(F.count("*").alias("n"))
+
+
+@q(f"SELECT {LABEL} AS label, lang, count(*) AS n FROM documents GROUP BY GROUPING SETS ((1), (2), ())")
+def grouping_sets_label(spark, sf_dir):
+    return labelled(spark, sf_dir).groupingSets([[F.col("label")], [F.col("lang")], []], "label", "lang").agg(F.count("*").alias("n")).select("label", "lang", "n")
+
+
+@q(f"SELECT id, CASE WHEN text IS NOT NULL THEN CASE WHEN contains(lower(text), '{TOKEN}') THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END END AS p FROM (VALUES (1, 'ha HAHA'), (2, 'no'), (3, NULL)) v(id, text) UNION ALL SELECT i::INT, 0.1::DOUBLE FROM range(10, 15) r(i)")
+def values_and_range(spark, sf_dir):
+    """Decisions over constant rows and a generated range."""
+    sem = session(spark, BATCH)
+    rows = spark.sql("SELECT * FROM VALUES (1, 'ha HAHA'), (2, 'no'), (3, NULL) AS v(id, text)").union(spark.range(10, 15).selectExpr("cast(id as int) as id", "concat('row ', id) as text"))
+    return sem.with_decisions(rows, p=sem.probability("mentions laughter", "text")).select("id", "p")
+
+
+TWO_KEYS_SQL = KEYS_SQL.replace("AS l_keys FROM", "AS l_keys, CASE WHEN item_id % 6 = 0 THEN NULL ELSE ['t' || item_id % 3] END AS l_more FROM").replace(
+    "AS r_keys FROM", "AS r_keys, ['t' || turn % 3, NULL] AS r_more FROM"
+)
+OVERLAP_SQL = "({0} IS NULL OR {1} IS NULL OR list_has_any(list_filter({0}, lambda x: x IS NOT NULL), list_filter({1}, lambda x: x IS NOT NULL)))"
+
+
+@q(f"WITH {TWO_KEYS_SQL} SELECT l_id, r_id, turn FROM l, r WHERE {OVERLAP_SQL.format('l_keys', 'r_keys')} AND {OVERLAP_SQL.format('l_more', 'r_more')} AND (contains(lower(l_text), 'haha') OR contains(lower(r_text), 'haha'))")
+def join_two_key_lists(spark, sf_dir):
+    left, right = keyed(spark, sf_dir)
+    left = left.withColumn("l_more", F.when(F.col("l_id") % 6 != 0, F.array(F.concat(F.lit("t"), (F.col("l_id") % 3).cast("string")))))
+    right = right.withColumn("r_more", F.array(F.concat(F.lit("t"), (F.col("turn") % 3).cast("string")), F.lit(None).cast("string")))
+    return session(spark, BATCH).join(left, right, "one of them laughs", "l_text", "r_text", keys=[("l_keys", "r_keys"), ("l_more", "r_more")]).select("l_id", "r_id", "turn")
+
+
+@q(f"SELECT lang, count(*) FILTER ({P} >= 0.05) AS low, count(*) FILTER ({P} >= 0.5) AS middle, count(*) FILTER ({P} >= 0.95) AS high FROM documents GROUP BY lang")
+def sql_thresholds(spark, sf_dir):
+    """Options of a call in SQL."""
+    register(spark, SCORER)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("sem_documents")
+    at = lambda t: f"count_if(sem_holds('mentions laughter', text, map('threshold', '{t}')))"
+    return spark.sql(f"SELECT lang, {at(0.05)} AS low, count_if(sem_holds('mentions laughter', text)) AS middle, {at(0.95)} AS high FROM sem_documents GROUP BY lang")
+
+
+@q(
+    "WITH k AS (SELECT count(DISTINCT text) AS n FROM conversations), b AS (SELECT count(DISTINCT text) AS m FROM benchmark), x AS (SELECT count(*) AS c FROM conversations), y AS (SELECT count(*) AS d FROM benchmark) "
+    "SELECT n * m AS pairs, c * d - n * m AS cache_hits, c * d AS cross_product_pairs, 0::BIGINT AS requests FROM k, b, x, y"
+)
+def join_stats(spark, sf_dir):
+    """The counters of an unkeyed join, without its product."""
+    c, b = talk(spark, sf_dir)
+    sem = session(spark)
+    sem.join(c, b, "one of them laughs", "said", "item")
+    return sem.stats().select("pairs", "cache_hits", "cross_product_pairs", "requests")
+
+
+INDEX_SQL = f"WITH {KEYS_SQL}, o AS (SELECT l_text, r_text FROM l, r WHERE {OVERLAP_SQL.format('l_keys', 'r_keys')})"
+
+
+@q(f"{INDEX_SQL} SELECT (SELECT count(*) FROM l) AS candidate_left_rows, (SELECT count(*) FROM r) AS candidate_right_rows, (SELECT count(*) FROM o) AS index_candidate_pairs, (SELECT count(*) FROM (SELECT DISTINCT l_text, r_text FROM o)) AS pairs, 0::BIGINT AS cross_product_pairs")
+def keyed_join_stats(spark, sf_dir):
+    """The counters of a keyed join."""
+    left, right = keyed(spark, sf_dir)
+    sem = session(spark)
+    sem.join(left, right, "one of them laughs", "l_text", "r_text", keys=[("l_keys", "r_keys")])
+    return sem.stats().select("candidate_left_rows", "candidate_right_rows", "index_candidate_pairs", "pairs", "cross_product_pairs")
