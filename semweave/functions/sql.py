@@ -58,6 +58,7 @@ def register(spark: SparkSession, scorer: KeywordScorer | None = None, threshold
         "sem_shared_prefix(a string, b string) returns double": f"case when octet_length(a) = 0 and octet_length(b) = 0 then 1D else cast({prefix} as double) / greatest(octet_length(a), octet_length(b)) end",
     }
     for head, body in bodies.items():
+        spark.sql(f"drop temporary function if exists {head.partition('(')[0]}")  # a batch scorer's can't be replaced
         spark.sql(f"create or replace temporary function {head} return {body}")
 
 
