@@ -14,7 +14,7 @@ next to one another with one choice are a block. Symbols are counted over the co
 * otherwise, and for windows without a certain symbol, the windows themselves are counted, by 128-bit hashes.
 
 So colliding names cost work but change nothing. Texts are exchanged once, to meet what was found about them; equal texts
-share it, by a key of two 64-bit hashes, and rows of one text can be split among tasks.
+share it, by a 96-bit key, and rows of one text can be split among tasks.
 
 Defined cases: a null or empty text has no words; with fewer words than a window nothing is removed; a window equal to
 another of its own document counts as a repeat, overlapping or not; repeated rows and null ids are rows like others.
@@ -199,7 +199,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id``, ``text`` and the key of the text, (c1, c2)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
-    return rows.withColumns({"c1": F.xxhash64("text"), "c2": F.xxhash64(F.lit(1), "text")})
+    return rows.withColumns({"c1": F.xxhash64("text"), "c2": F.shiftrightunsigned(F.xxhash64(F.lit(1), "text"), 32)})
 
 
 def found_blocks(rows: DataFrame, window: int, rounds: int) -> DataFrame:
@@ -281,40 +281,41 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, *, rounds: int = ROUND
     mark = "shiftleft(cast(p as bigint), 32) + shiftleft(cast(m as bigint), 1) + {} as mark"
     marks = named.join(shared, "name").selectExpr("c1", "c2", mark.format("if(sure, 1L, 0L)"))
     marks = marks.unionByName(found.where("bare").selectExpr("c1", "c2", mark.format("0L")))
-    per_text = stage_table(marks.groupBy("c1", "c2").agg(F.collect_set("mark").alias("marks")), "marks")
-    met = rows.join(per_text, ["c1", "c2"], "left").select("doc_id", "text", "c1", "c2", "marks")
+    per_text = marks.groupBy("c1", "c2").agg(F.collect_set("mark").alias("marks"))
+    per_text = stage_table(per_text.withColumn("t", F.monotonically_increasing_id()), "marks")  # from here on texts have short names
+    met = rows.join(per_text, ["c1", "c2"], "left").select("text", "t", "marks")
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            marks = lists_of(batch.column(4))
+            parts: list[list[np.ndarray]] = [[], [], [], [], []]
+            marks = lists_of(batch.column(2))
             todo = [i for i, m in enumerate(marks) if ((m & 1) == 0).any()]
             if not todo:
                 continue
-            texts, c1, c2 = batch.column(1), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            texts, t = batch.column(0), batch.column(1)
             for i in todo:
                 h1, h2 = window_hashes(word_names(texts[i].as_py().encode().split()), window)
                 pick = np.flatnonzero(windows_of(marks[i], False, len(h1)))
                 first, group = equal_windows(h1[pick], h2[pick])
                 at = pick[first]
-                for part, x in zip(parts, (h1[at], h2[at], np.full(len(at), c1[i]), np.full(len(at), c2[i]), at, np.bincount(group, minlength=len(at))), strict=True):
+                own = (h1[at], h2[at], np.full(len(at), t[i].as_py()), at.astype(np.int32), np.bincount(group, minlength=len(at)).astype(np.int32))
+                for part, x in zip(parts, own, strict=True):
                     part.append(x)
-            if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in parts], names=["h1", "h2", "c1", "c2", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], names=["h1", "h2", "t", "at", "n"])
 
-    seen = met.mapInArrow(counted, "h1 long, h2 long, c1 long, c2 long, at long, n long")
+    seen = met.mapInArrow(counted, "h1 long, h2 long, t long, at int, n int")
     again = seen.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
     # the first place of each repeated window in the text: its other places there are found again by both hashes
-    hits = seen.select("h1", "h2", "c1", "c2", "at").join(again, ["h1", "h2"]).groupBy("c1", "c2").agg(F.collect_set("at").alias("hits"))
-    known = stage_table(per_text.join(hits, ["c1", "c2"], "left"), "known")
-    last = rows.join(known, ["c1", "c2"], "left").select("doc_id", "text", "c1", "c2", "marks", "hits")
+    hits = seen.select("h1", "h2", "t", "at").join(again, ["h1", "h2"]).groupBy("t").agg(F.collect_set("at").alias("hits"))
+    known = stage_table(per_text.join(hits, "t", "left").drop("t"), "known")
+    last = rows.join(known, ["c1", "c2"], "left").select("doc_id", "text", "marks", "hits")
 
     def cleared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             n_words, n_removed, kept = [], [], []
-            for text, marks, hits in zip(raw_bytes(batch.column(1)), lists_of(batch.column(4)), lists_of(batch.column(5)), strict=True):
+            for text, marks, hits in zip(raw_bytes(batch.column(1)), lists_of(batch.column(2)), lists_of(batch.column(3)), strict=True):
                 words = text.split()
                 gone = 0
                 if len(marks):
