@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from semweave.llm.shared import stage_table
 
 #: Bins of a node's histogram.
-BINS = 1 << 16
+BINS = 1 << 15
 #: A cut may miss its weight by this share of a shard's bytes.
 TOLERANCE = 5e-4
 #: A cut may miss it by this share of the bytes of the smaller side's shards, to keep a group of equal texts whole.
