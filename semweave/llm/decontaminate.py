@@ -44,8 +44,8 @@ EDITS = 0.05
 BLOCK_BYTES, SUSPECT_BYTES = 8_000_000, 16_000_000
 #: Bits of the filter for a character of the benchmark, hashes of a q-gram, and the filter's largest size as a power of 2.
 BITS_A_GRAM, HASHES, MOST_BITS = 32, 4, 29
-#: Bytes of documents that are searched together.
-TOGETHER = 4_000_000
+#: Bytes of documents that are searched together; a task takes some fifty times as much memory for it.
+TOGETHER = 1_000_000
 FILTER_BITS = 22
 
 U = np.uint64

@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -374,7 +375,7 @@ def crowd_links(texts: DataFrame, whole: DataFrame, member: DataFrame, led: Data
 
     The texts of groups that are not yet one component are joined exactly, by a prefix filter on their whole shingle sets:
     with the shingles in one order, the rarest first, two sets of similarity ``least`` share one of the first
-    n - least n + 1 of each. Pairs of one component need no link. The order is by counts in 2^18 slots, which are all
+    n - least n + 1 of each, at places from which enough shingles follow in both. Pairs of one component need no link. The order is by counts in 2^18 slots, which are all
     that reaches the driver; any order gives the same links.
     """
     labels = connected_components(led, "led")
@@ -403,9 +404,9 @@ def crowd_links(texts: DataFrame, whole: DataFrame, member: DataFrame, led: Data
                 h = batch.column(2)[i].values.to_numpy()
                 first = h[np.lexsort((h, often[h & (SLOTS - 1)]))][: len(h) - math.ceil(least * len(h) - 1e-9) + 1]
                 own = [np.full(len(first), v, np.int64) for v in (*(batch.column(c)[i].as_py() for c in range(2)), len(h))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first, *own)], names=["h", "node", "label", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first, *own, np.arange(len(first)))], names=["h", "node", "label", "size", "place"])
 
-    prefixes = sets.mapInArrow(prefix, "h long, node long, label long, size long")
+    prefixes = sets.mapInArrow(prefix, "h long, node long, label long, size long, place long")
     pairs = prefixes.repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: apart_pairs(batches, least), "node long, other long")
     near = alike(pairs.distinct(), texts, least)
     other = sets.select(F.col("node").alias("other"), F.col("hashes").alias("y"))
@@ -424,8 +425,9 @@ def crowd_links(texts: DataFrame, whole: DataFrame, member: DataFrame, led: Data
 
 
 def apart_pairs(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (node, other) of rows (h, node, label, size), in order of h, with one h, different labels and sizes that allow
-    the similarity; the smaller node first."""
+    """Pairs (node, other) of rows (h, node, label, size, place), in order of h, with one h and different labels, the smaller
+    node first. Their sizes, and the shingles from h on, must allow the similarity; at the first shingle that two similar
+    texts share they do. A pair comes once from the rows that are walked together."""
 
     def walk(rows: np.ndarray) -> Iterator[np.ndarray]:
         edge = np.flatnonzero(np.diff(rows[:, 0])) + 1
@@ -435,19 +437,25 @@ def apart_pairs(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.
                 continue
             for i in range(1, len(group)):
                 x, own = group[:i], group[i]
-                met = x[(x[:, 2] != own[2]) & (np.minimum(x[:, 3], own[3]) >= least * np.maximum(x[:, 3], own[3])), 1]
+                shared = np.minimum(x[:, 3] - x[:, 4], own[3] - own[4])
+                apart, sizes = x[:, 2] != own[2], np.minimum(x[:, 3], own[3]) >= least * np.maximum(x[:, 3], own[3])
+                met = x[apart & sizes & (shared >= least / (1 + least) * (x[:, 3] + own[3]) - 1e-6), 1]
                 if len(met):
                     yield np.stack((np.minimum(met, own[1]), np.maximum(met, own[1])), axis=1)
 
     def batched(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for part in (*walk(rows), None):
+        for part in chain(walk(rows), (None,)):
             if part is not None:
                 held.append(part)
                 size += len(part)
-            if held and (part is None or size >= 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(np.concatenate(held).T)], names=["node", "other"])
-                held, size = [], 0
+            if held and (part is None or size >= 1_000_000):
+                every = np.unique(np.concatenate(held), axis=0)
+                held, size = [every], len(every)
+                if part is None or size >= 500_000:
+                    for i in range(0, size, 50_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(every[i : i + 50_000].T)], names=["node", "other"])
+                    held, size = [], 0
 
     held, size = [], 0
     for batch in batches:
