@@ -366,47 +366,73 @@ def similar_links(texts: DataFrame, whole: DataFrame, least: float, width: int,
 
     led = near.where("sure").select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(both.mapInArrow(compare, "a long, b long"))
     led = stage_table(led, "led-links")
-    rest = crowd_links(texts, whole, member, led, least, width)
+    rest = crowd_links(texts, whole, ranked, led, least, width)
     return led if rest is None else led.unionByName(rest)
 
 
-def crowd_links(texts: DataFrame, whole: DataFrame, member: DataFrame, led: DataFrame, least: float, width: int) -> DataFrame | None:
-    """Links (a, b: nodes) between texts of one band group that ``led`` leaves in different components.
+def crowd_links(texts: DataFrame, whole: DataFrame, ranked: DataFrame, led: DataFrame, least: float, width: int) -> DataFrame | None:
+    """Links (a, b: nodes) between texts of one band group that ``led`` leaves in different components; ``ranked`` (node,
+    band, key, total) are the members of the groups.
 
-    The texts of groups that are not yet one component are joined exactly, by a prefix filter on their whole shingle sets:
-    with the shingles in one order, the rarest first, two sets of similarity ``least`` share one of the first
-    n - least n + 1 of each, at places from which enough shingles follow in both. Pairs of one component need no link. The order is by counts in 2^18 slots, which are all
-    that reaches the driver; any order gives the same links.
+    The texts of groups that are not yet one component are joined exactly, by what tells them from the reference of their
+    group, the text most like all leaders it met: copies of one origin have most shingles in common, but few differences.
+    Let D be the shingles that a text of n shingles has and the reference r has not, or the reverse, d their number and
+    s = d - c n with c = (1 - least) / (1 + least). Two texts are similar if and only if their D share (s + s') / 2 or more.
+    No text has a smaller s than r, so if that is 0 or less both are similar to r, and every text is compared with r. All
+    others share one of the first shingles of each D, with the shingles in one order, the rarest first, at places from
+    which enough of them follow in both. Pairs of one component need no link. The order is by counts in 2^18 slots, which
+    are all that reaches the driver; any order gives the same links. Groups with one reference are taken together.
     """
     labels = connected_components(led, "led")
-    named = stage_table(member.join(labels, member.node == labels.id, "left").select("node", "band", "key", F.coalesce("label", "node").alias("label")), "band-labels")
+    named = stage_table(ranked.join(labels, ranked.node == labels.id, "left").select("node", "band", "key", "total", F.coalesce("label", "node").alias("label")), "band-labels")
     # in a group of three the leaders met everyone
-    split = named.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 3 and low <> high")
-    split = stage_table(split.select("band", "key"), "split-groups")
-    need = stage_table(named.join(split, ["band", "key"], "left_semi").select("node", "label").distinct(), "crowd")
-    if need.isEmpty():
+    split = named.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("total", "node"))["node"].alias("ref"))
+    split = stage_table(split.where("n > 3 and low <> high").select("band", "key", "ref"), "split-groups")
+    crowd = stage_table(named.join(split, ["band", "key"]).select("ref", "node", "label").distinct(), "crowd")
+    if crowd.isEmpty():
         return None
-    held = wanted_texts(whole, texts, need.select("node")).join(need, "node").select("node", "label", "text")
+    held = wanted_texts(whole, texts, stage_table(crowd.select("node").distinct(), "crowd-texts"))
 
     def shingle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
-            sets = [np.unique(shingle_hashes(t or b"", width)).view(np.int64) for t in raw_bytes(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.list_(pa.int64()))], names=["node", "label", "hashes"])
+        for batch in slices(batches, 1):
+            sets = [np.unique(shingle_hashes(t or b"", width)).view(np.int64) for t in raw_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    sets = stage_table(held.mapInArrow(shingle, "node long, label long, hashes array<bigint>"), "crowd-sets")
-    count = sets.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    sets = stage_table(held.mapInArrow(shingle, "node long, hashes array<bigint>"), "crowd-sets")
+    refs = sets.select(F.col("node").alias("ref"), F.col("hashes").alias("theirs"))
+    # the references first: theirs are the frequent keys, and the rows are still small
+    met = crowd.join(refs, "ref").join(sets, "node").select("ref", "node", "label", "hashes", "theirs")
+
+    def differ(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, parts = [], []
+            for i in range(batch.num_rows):
+                own, theirs = (batch.column(c)[i].values.to_numpy() for c in (3, 4))
+                salt = batch.column(0)[i].as_py() * 0x9E3779B97F4A7C15 % 2**64  # shingles of other references are others
+                parts.append((np.setxor1d(own, theirs, assume_unique=True).view(np.uint64) ^ np.uint64(salt)).view(np.int64))
+                sizes.append((len(own), len(theirs)))
+            size, ref_size = np.array(sizes, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size), pa.array(ref_size), pa.array(parts, pa.list_(pa.int64()))], names=["ref", "node", "label", "size", "ref_size", "hashes"])
+
+    parts = stage_table(met.mapInArrow(differ, "ref long, node long, label long, size long, ref_size long, hashes array<bigint>"), "crowd-differences")
+    shared = (F.col("size") + F.col("ref_size") - F.size("hashes")) / 2
+    to_ref = parts.where((shared >= least * (F.col("size") + F.col("ref_size") - shared)) & (F.col("node") != F.col("ref")))
+    count = parts.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.count(F.lit(1)).alias("n")).toArrow()
     often = np.zeros(SLOTS, np.int64)
     often[count["slot"].to_numpy()] = count["n"].to_numpy()
 
     def prefix(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                h = batch.column(2)[i].values.to_numpy()
-                first = h[np.lexsort((h, often[h & (SLOTS - 1)]))][: len(h) - math.ceil(least * len(h) - 1e-9) + 1]
-                own = [np.full(len(first), v, np.int64) for v in (*(batch.column(c)[i].as_py() for c in range(2)), len(h))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first, *own, np.arange(len(first)))], names=["h", "node", "label", "size", "place"])
-
-    prefixes = sets.mapInArrow(prefix, "h long, node long, label long, size long, place long")
+                h = batch.column(5)[i].values.to_numpy()
+                node, label, size, ref_size = (batch.column(c)[i].as_py() for c in range(1, 5))
+                # differences shared with any similar text that is not found through the reference
+                least_shared = max(1, (len(h) - (1 - least) / (1 + least) * (size + ref_size)) / 2, len(h) - (1 - least) / least * size)
+                first = h[np.lexsort((h, often[h & (SLOTS - 1)]))][: max(0, len(h) - math.ceil(least_shared - 1e-6) + 1)]
+                own = [np.full(len(first), v, np.int64) for v in (node, label, size, len(h))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first, *own, len(h) - np.arange(len(first)))], names=["h", "node", "label", "size", "differ", "rest"])
+
+    prefixes = parts.mapInArrow(prefix, "h long, node long, label long, size long, differ long, rest long")
     pairs = prefixes.repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: apart_pairs(batches, least), "node long, other long")
     near = alike(pairs.distinct(), texts, least)
     other = sets.select(F.col("node").alias("other"), F.col("hashes").alias("y"))
@@ -421,13 +447,16 @@ def crowd_links(texts: DataFrame, whole: DataFrame, member: DataFrame, led: Data
                 keep.append(shared >= least * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select(F.col("node").alias("a"), F.col("other").alias("b"), "x", "y").mapInArrow(compare, "a long, b long")
+    found = both.select(F.col("node").alias("a"), F.col("other").alias("b"), "x", "y").mapInArrow(compare, "a long, b long")
+    return found.unionByName(to_ref.select(F.col("node").alias("a"), F.col("ref").alias("b")))
 
 
 def apart_pairs(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (node, other) of rows (h, node, label, size, place), in order of h, with one h and different labels, the smaller
-    node first. Their sizes, and the shingles from h on, must allow the similarity; at the first shingle that two similar
-    texts share they do. A pair comes once from the rows that are walked together."""
+    """Pairs (node, other) of rows (h, node, label, size, differ, rest), in order of h, with one h and different labels, the
+    smaller node first: texts of ``size`` shingles and ``differ`` differences, ``rest`` of them from h on. Their sizes, and
+    the rests, must allow the similarity; at the first difference that two similar texts share they do. A pair comes once
+    from the rows that are walked together."""
+    part = (1 - least) / (1 + least)
 
     def walk(rows: np.ndarray) -> Iterator[np.ndarray]:
         edge = np.flatnonzero(np.diff(rows[:, 0])) + 1
@@ -437,9 +466,9 @@ def apart_pairs(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.
                 continue
             for i in range(1, len(group)):
                 x, own = group[:i], group[i]
-                shared = np.minimum(x[:, 3] - x[:, 4], own[3] - own[4])
+                shared = np.minimum(x[:, 5], own[5])
                 apart, sizes = x[:, 2] != own[2], np.minimum(x[:, 3], own[3]) >= least * np.maximum(x[:, 3], own[3])
-                met = x[apart & sizes & (shared >= least / (1 + least) * (x[:, 3] + own[3]) - 1e-6), 1]
+                met = x[apart & sizes & (2 * shared >= x[:, 4] + own[4] - part * (x[:, 3] + own[3]) - 1e-6), 1]
                 if len(met):
                     yield np.stack((np.minimum(met, own[1]), np.maximum(met, own[1])), axis=1)
 

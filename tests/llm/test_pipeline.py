@@ -149,6 +149,35 @@ def test_links_between_non_leaders(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == list(range(0, 800, 2))
 
 
+def test_crowd_near_the_threshold(spark, monkeypatch):
+    """Copies of a text that is not among them, many a little under the threshold with most others: all links, few candidates."""
+    rng = random.Random(5)
+    n, base, texts = 500, [f"w{i}" for i in range(150)], []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(3, 147), 1 if i % 2 else 3 if i % 4 else 4):
+            words[at] = str(rng.random())
+        texts.append(" ".join(words))
+    sets = [shingles(t) for t in texts]
+    first = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if first[i] != first[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((first[i], first[j]))
+                first = [low if x == high else x for x in first]
+    counts, alike = [], simhash.alike
+
+    def counting(pairs, *more):
+        counts.append(pairs.count())
+        return alike(pairs, *more)
+
+    monkeypatch.setattr(simhash, "alike", counting)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == sorted(set(first))
+    assert len(set(first)) > 1
+    assert len(counts) == 3 and counts[2] < 4 * n, counts
+
+
 #: Names that an operator might use for columns of its own, in any case.
 ODD = ("k0", "c1", "C2", "key_k0", "key_c1", "node", "label", "ledger", "Ledger_n_words", "n_words", "fail_bits", "suspect", "row", "whole", "redacted", "spans", "hits", "kept", "fp", "sketch", "a.b")
 
