@@ -7,7 +7,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -76,23 +76,27 @@ def questions(decision: Decision, rows: pd.DataFrame) -> list[Any]:
     return [[(f["name"], f["value"]) for f in r] for r in rows[RECORD[0]]]
 
 
-def ask_batches(inputs: DataFrame, decision: Decision, scorer: Any, config: SemConfig, second: bool = False, keep: bool = False) -> DataFrame:
+def n_tasks(spark: SparkSession) -> int:
+    """Local work goes to the whole cluster; ``threads`` only bounds the connections to a service."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ask_batches(inputs: Any, decision: Decision, scorer: Any, config: SemConfig, second: bool = False, keep: bool = False) -> DataFrame:
     """One row an input: its key, its answer, its batch, and its texts if they are to be kept. A batch scorer runs as a plan
     node of its own, which no filter can be pushed through, so each distinct input is asked once; ``persist`` keeps the
-    answers for all their uses."""
+    answers for all their uses. ``inputs`` are a frame or ``GroupedPairs``, which are dealt to tasks as they are."""
     keys, texts = keys_of(decision), PAIR if decision.pairwise else RECORD
-    dealt = inputs.select(*keys, *texts)
+    whole = isinstance(inputs, DataFrame)
+    dealt = inputs.select(*keys, *texts) if whole else inputs.dealt()
     left = keys + (texts if keep else ())
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in dealt.select(*left).schema.fields)}, {ASKED}"
     size = config.cascade_batch_size if second else config.k
     plan = getattr(scorer, "plan", None)
+    how = None
     if plan is not None:
         dealt, how = plan(dealt, decision, config, second)
-    else:
-        # local work goes to the whole cluster; ``threads`` only bounds the connections to a service
-        spark = inputs.sparkSession
-        n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        dealt, how = dealt.repartition(n, *keys), None
+    elif whole:
+        dealt = dealt.repartition(n_tasks(dealt.sparkSession), *keys)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
