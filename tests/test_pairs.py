@@ -57,3 +57,9 @@ def check(spark, got, want, times=4):
 def test_keyed_batch_join_exchanges_texts_once(spark, sides):
     a, b = sides
     check(spark, lambda: connect(spark, scorer=BATCH).join(b, a, "p", "text", "said", keys=[("tags", "keys")]), a.join(b, F.expr(f"{OVERLAP} and {LAUGH}")))
+
+
+def test_join_on_two_key_lists_exchanges_texts_once(spark, sides):
+    a, b = sides
+    want = a.join(b, F.expr(f"{OVERLAP} and {LAUGH} and arrays_overlap(more, others)"))
+    check(spark, lambda: connect(spark, scorer=BATCH).join(b, a, "p", "text", "said", keys=[("tags", "keys"), ("others", "more")]), want)
