@@ -94,7 +94,7 @@ def ask_batches(inputs: Any, decision: Decision, scorer: Any, config: SemConfig,
     plan = getattr(scorer, "plan", None)
     how = None
     if plan is not None:
-        dealt, how = plan(dealt, decision, config, second)
+        dealt, how = plan(dealt if whole else inputs, decision, config, second)
     elif whole:
         dealt = dealt.repartition(n_tasks(dealt.sparkSession), *keys)
 

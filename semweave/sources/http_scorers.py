@@ -62,9 +62,11 @@ class HttpScorer:
         return (self.kind, self.endpoint, self.model)
 
     # --- planning ---------------------------------------------------------------------------------------------------
-    def plan(self, inputs: DataFrame, decision: Decision, config: SemConfig, second: bool):
-        """The inputs, dealt to tasks, and the function that answers a task's questions."""
+    def plan(self, inputs: Any, decision: Decision, config: SemConfig, second: bool):
+        """The inputs, dealt to tasks, and the function that answers a task's questions. Pairs that
+        are ``GroupedPairs`` are dealt by texts of their large side."""
         threads = config.cascade_threads if second else config.threads
+        whole = isinstance(inputs, DataFrame)
         how = {"layout": "pack", "anchor": config.anchor}
         if decision.pairwise and not second:
             left, right = PAIR
@@ -76,8 +78,10 @@ class HttpScorer:
                 how["anchor"] = choose_anchor(config.anchor, r["l"], r["r"], r["lb"] or 0, r["rb"] or 0)
             else:
                 how["layout"] = config.layout
+            side = left if how["anchor"] == "left" else right
+            if not whole:
+                return inputs.dealt(threads), self.answerer(decision, config, how, second)
             if how["layout"] == "star":
-                side = left if how["anchor"] == "left" else right
                 return inputs.repartition(threads, side).sortWithinPartitions(side), self.answerer(decision, config, how, second)
         else:
             how["layout"] = config.layout

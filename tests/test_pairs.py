@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from semweave.plans.queries import BATCH, TOKEN
+from semweave.plans.service_queries import service
 from semweave.session import connect
 
 N, M, LENGTH = 300, 20, 1000
@@ -63,3 +64,9 @@ def test_join_on_two_key_lists_exchanges_texts_once(spark, sides):
     a, b = sides
     want = a.join(b, F.expr(f"{OVERLAP} and {LAUGH} and arrays_overlap(more, others)"))
     check(spark, lambda: connect(spark, scorer=BATCH).join(b, a, "p", "text", "said", keys=[("tags", "keys"), ("others", "more")]), want)
+
+
+@pytest.mark.parametrize("layout", ["pack"])
+def test_service_is_dealt_texts_once(spark, sides, layout):
+    a, b = sides
+    check(spark, lambda: connect(spark, scorer=service(), layout=layout).join(a, b, "p", "said", "text"), a.join(b, F.expr(LAUGH)))
