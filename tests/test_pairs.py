@@ -70,3 +70,9 @@ def test_join_on_two_key_lists_exchanges_texts_once(spark, sides):
 def test_service_is_dealt_texts_once(spark, sides, layout):
     a, b = sides
     check(spark, lambda: connect(spark, scorer=service(), layout=layout).join(a, b, "p", "said", "text"), a.join(b, F.expr(LAUGH)))
+
+
+def test_batch_join_on_a_condition_exchanges_texts_once(spark, sides):
+    a, b = sides
+    on = (F.col("turn") == F.col("part")) | (F.col("part") > 0)
+    check(spark, lambda: connect(spark, scorer=BATCH).join(a, b, "p", "said", "text", on=on), a.join(b, on & F.expr(LAUGH)))
