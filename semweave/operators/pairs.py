@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 from semweave.functions.keys import known
 from semweave.operators.judge import PAIR, PAIR_KEY
 
+#: Bytes of a row beside its text, as far as sizes are guessed from rows.
+ROW_BYTES = 64
+
 
 @dataclass(frozen=True)
 class GroupedPairs:
@@ -61,11 +64,24 @@ def bytes_planned(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def bytes_counted(df: DataFrame) -> int:
+    """The rows' size, by reading them."""
+    fixed = (T.NumericType, T.BooleanType, T.DatetimeType, T.NullType)
+    length = sum((F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in df.schema.fields if not isinstance(f.dataType, fixed)), F.lit(ROW_BYTES))
+    return df.agg(F.sum(length.cast("long"))).first()[0] or 0
+
+
 def small_side(left: DataFrame, right: DataFrame) -> str | None:
-    """The side that can be broadcast by Catalyst's estimate; None if neither can."""
+    """The side that can be broadcast, by Catalyst's estimate or, if that names none, by its rows; None if neither can."""
     most = bytes_of(left.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
-    size, name = min((bytes_planned(df), name) for name, df in {"left": left, "right": right}.items())
-    return name if size <= most else None
+    sides = {"left": left, "right": right}
+    for size in (bytes_planned, bytes_counted):
+        found = min((size(df), name) for name, df in sides.items())
+        if found[0] <= most:
+            return found[1]
+        if most <= 0:
+            break
+    return None
 
 
 def bytes_of(setting: str) -> int:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from semweave.plans.queries import BATCH, TOKEN
 from semweave.plans.service_queries import service
+from semweave.plans.tree import query
 from semweave.session import connect
 
 N, M, LENGTH = 300, 20, 1000
@@ -76,3 +77,12 @@ def test_batch_join_on_a_condition_exchanges_texts_once(spark, sides):
     a, b = sides
     on = (F.col("turn") == F.col("part")) | (F.col("part") > 0)
     check(spark, lambda: connect(spark, scorer=BATCH).join(a, b, "p", "said", "text", on=on), a.join(b, on & F.expr(LAUGH)))
+
+
+def test_side_under_a_null_safe_join_is_measured(spark, sides):
+    """Catalyst's estimate of a join is the product of its inputs, so the small side is found by its rows."""
+    a, b = sides
+    labels = spark.range(2).select(F.when(F.col("id") == 0, F.col("id")).cast("int").alias("label"))
+    b = b.withColumn("k", F.when(F.col("part") != 3, F.col("part")))
+    frame = lambda: query(connect(spark, scorer=BATCH), b).sem_join(a, "p", "text", "said").join(labels, [("k", "label")], null_safe=True).frame()
+    check(spark, frame, a.join(b, F.expr(f"(k is null or k = 0) and {LAUGH}")))
