@@ -86,3 +86,9 @@ def test_side_under_a_null_safe_join_is_measured(spark, sides):
     b = b.withColumn("k", F.when(F.col("part") != 3, F.col("part")))
     frame = lambda: query(connect(spark, scorer=BATCH), b).sem_join(a, "p", "text", "said").join(labels, [("k", "label")], null_safe=True).frame()
     check(spark, frame, a.join(b, F.expr(f"(k is null or k = 0) and {LAUGH}")))
+
+
+def test_product_exchanges_texts_once(spark, sides):
+    a, b = sides
+    frame = lambda: query(connect(spark, scorer=BATCH), b).sem_join(a, "p", "text", "said").where("ID % 2 = 0").where("rand() < 2").where("item > 1").frame()
+    check(spark, frame, a.join(b, F.expr(f"id % 2 = 0 and item > 1 and {LAUGH}")))
