@@ -81,6 +81,22 @@ def n_tasks(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def gathered(parts: Iterator[pd.DataFrame], by: str, size: int, most: int = 50_000) -> Iterator[pd.DataFrame]:
+    """The rows of ``parts``, those of one text of ``by`` by ``size`` together as far as ``most`` rows that wait allow."""
+    rest = None
+    for part in parts:
+        rest = part if rest is None else pd.concat([rest, part], ignore_index=True)
+        groups = rest.groupby(by, sort=False)[by]
+        ready = groups.cumcount() < groups.transform("size") // size * size
+        if len(rest) - ready.sum() > most:
+            ready[:] = True
+        if ready.any():
+            yield rest[ready].reset_index(drop=True)
+            rest = rest[~ready]
+    if rest is not None and len(rest):
+        yield rest.reset_index(drop=True)
+
+
 def ask_batches(inputs: Any, decision: Decision, scorer: Any, config: SemConfig, second: bool = False, keep: bool = False) -> DataFrame:
     """One row an input: its key, its answer, its batch, and its texts if they are to be kept. A batch scorer runs as a plan
     node of its own, which no filter can be pushed through, so each distinct input is asked once; ``persist`` keeps the
@@ -92,15 +108,15 @@ def ask_batches(inputs: Any, decision: Decision, scorer: Any, config: SemConfig,
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in dealt.select(*left).schema.fields)}, {ASKED}"
     size = config.cascade_batch_size if second else config.k
     plan = getattr(scorer, "plan", None)
-    how = None
+    how, together = None, None
     if plan is not None:
-        dealt, how = plan(dealt if whole else inputs, decision, config, second)
+        dealt, how, together = plan(dealt if whole else inputs, decision, config, second)
     elif whole:
         dealt = dealt.repartition(n_tasks(dealt.sparkSession), *keys)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
-        for i, part in enumerate(parts):
+        for i, part in enumerate(parts if together is None else gathered(parts, together, size)):
             n = f"{task}-{i}"
             asked = questions(decision, part)
             if how is not None:

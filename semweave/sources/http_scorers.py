@@ -63,8 +63,8 @@ class HttpScorer:
 
     # --- planning ---------------------------------------------------------------------------------------------------
     def plan(self, inputs: Any, decision: Decision, config: SemConfig, second: bool):
-        """The inputs, dealt to tasks, and the function that answers a task's questions. Pairs that
-        are ``GroupedPairs`` are dealt by texts of their large side."""
+        """The inputs, dealt to tasks, the function that answers a task's questions, and the text whose questions the task has
+        to gather. Pairs that are ``GroupedPairs`` are dealt by texts of their large side; a star on the other gathers them."""
         threads = config.cascade_threads if second else config.threads
         whole = isinstance(inputs, DataFrame)
         how = {"layout": "pack", "anchor": config.anchor}
@@ -80,12 +80,13 @@ class HttpScorer:
                 how["layout"] = config.layout
             side = left if how["anchor"] == "left" else right
             if not whole:
-                return inputs.dealt(threads), self.answerer(decision, config, how, second)
+                together = side if how["layout"] == "star" and how["anchor"] == inputs.small else None
+                return inputs.dealt(threads), self.answerer(decision, config, how, second), together
             if how["layout"] == "star":
-                return inputs.repartition(threads, side).sortWithinPartitions(side), self.answerer(decision, config, how, second)
+                return inputs.repartition(threads, side).sortWithinPartitions(side), self.answerer(decision, config, how, second), None
         else:
             how["layout"] = config.layout
-        return inputs.repartition(threads), self.answerer(decision, config, how, second)
+        return inputs.repartition(threads), self.answerer(decision, config, how, second), None
 
     def answerer(self, decision: Decision, config: SemConfig, how: dict, second: bool):
         scorer = self

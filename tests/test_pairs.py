@@ -2,9 +2,11 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from semweave.operators.judge import gathered
 from semweave.plans.queries import BATCH, TOKEN
 from semweave.plans.service_queries import service
 from semweave.plans.tree import query
@@ -92,3 +94,24 @@ def test_product_exchanges_texts_once(spark, sides):
     a, b = sides
     frame = lambda: query(connect(spark, scorer=BATCH), b).sem_join(a, "p", "text", "said").where("ID % 2 = 0").where("rand() < 2").where("item > 1").frame()
     check(spark, frame, a.join(b, F.expr(f"id % 2 = 0 and item > 1 and {LAUGH}")))
+
+
+def requests(sem):
+    return sem.stats().first()["requests"]
+
+
+def test_star_is_dealt_texts_once_in_full_requests(spark, sides):
+    """Two tasks, each with all texts of the small side: at most one request of each isn't full."""
+    a, b = sides
+    sem = connect(spark, scorer=service(), layout="star", anchor="right", threads=2, k=50)
+    check(spark, lambda: sem.join(a, b, "p", "said", "text"), a.join(b, F.expr(LAUGH)))
+    assert requests(sem) <= N * M / 50 + 2 * M
+
+
+def test_rows_of_one_text_are_gathered():
+    parts = [pd.DataFrame({"t": [f"t{(i + j) % 7}" for i in range(40)], "n": range(40 * j, 40 * j + 40)}) for j in range(10)]
+    out = list(gathered(iter(parts), "t", 10))
+    assert sorted(n for x in out for n in x["n"]) == list(range(400))
+    assert all((x.groupby("t").size() % 10 == 0).all() for x in out[:-1]) and len(out[-1]) < 7 * 10
+    few = list(gathered(iter(parts), "t", 1000, most=50))
+    assert sorted(n for x in few for n in x["n"]) == list(range(400)) and max(map(len, few)) <= 90
