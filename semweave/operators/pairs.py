@@ -113,3 +113,8 @@ def element_of(df: DataFrame, keys: Column) -> T.DataType:
 def shared(a: str, b: str) -> Column:
     """Two tokens are the same."""
     return (F.col(f"{a}.kind") == F.col(f"{b}.kind")) & F.col(f"{a}.key").eqNullSafe(F.col(f"{b}.key"))
+
+
+def shared_first(token: str, a: Column, b: Column) -> Column:
+    """The token is the first that both lists share: true for one token of each pair of rows that share any."""
+    return (F.col(f"{token}.kind") != 0) | F.get(F.array_intersect(F.array_distinct(known(a)), known(b)), F.lit(0)).eqNullSafe(F.col(f"{token}.key"))

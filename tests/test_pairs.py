@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from semweave.operators.judge import gathered
+from semweave.operators.scorers import KeywordScorer
 from semweave.plans.queries import BATCH, TOKEN
 from semweave.plans.service_queries import service
 from semweave.plans.tree import query
@@ -115,3 +116,8 @@ def test_rows_of_one_text_are_gathered():
     assert all((x.groupby("t").size() % 10 == 0).all() for x in out[:-1]) and len(out[-1]) < 7 * 10
     few = list(gathered(iter(parts), "t", 1000, most=50))
     assert sorted(n for x in few for n in x["n"]) == list(range(400)) and max(map(len, few)) <= 90
+
+
+def test_native_keyed_join_makes_no_exchange(spark, sides):
+    a, b = sides
+    check(spark, lambda: connect(spark, scorer=KeywordScorer(TOKEN)).join(b, a, "p", "text", "said", keys=[("tags", "keys")]), a.join(b, F.expr(f"{OVERLAP} and {LAUGH}")), times=0.01)
