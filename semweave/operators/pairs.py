@@ -41,6 +41,17 @@ class GroupedPairs:
         met = pairs.join(partners, (F.col("partner.k1") == F.col("p1")) & (F.col("partner.k2") == F.col("p2")))
         return met.select(*own, F.col("p1").alias(others[0]), F.col("p2").alias(others[1]), *PAIR).select(*PAIR_KEY, *PAIR)
 
+    def sizes(self) -> dict[str, int]:
+        """Number of pairs, of texts of both sides, and bytes of both sides summed over pairs; no text meets a pair."""
+        n = F.size("partners")
+        own = self.groups.agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("texts"), F.sum(n * F.octet_length(text_name(self.large))).alias("bytes")).first()
+        others = side_keys(self.small)
+        used = self.groups.select(F.explode("partners").alias("partner")).groupBy("partner").agg(F.count(F.lit(1)).alias("times"))
+        known_by = self.partners.select(F.struct(*(F.col(k).alias(a) for k, a in zip(others, ("k1", "k2"), strict=True))).alias("partner"), F.octet_length(text_name(self.small)).alias("length"))
+        other = used.join(F.broadcast(known_by), "partner").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("times") * F.col("length")).alias("bytes")).first()
+        found = {self.large: own, self.small: other}
+        return {"n": own["n"] or 0} | {k: found[s][c] or 0 for s, c, k in (("left", "texts", "l"), ("right", "texts", "r"), ("left", "bytes", "lb"), ("right", "bytes", "rb"))}
+
 
 def side_keys(side: str) -> tuple[str, str]:
     return PAIR_KEY[:2] if side == "left" else PAIR_KEY[2:]

@@ -71,7 +71,7 @@ class HttpScorer:
         if decision.pairwise and not second:
             left, right = PAIR
             if config.layout == "auto" or (config.layout == "star" and config.anchor == "auto"):
-                r = inputs.agg(
+                r = inputs.sizes() if not whole else inputs.agg(
                     F.count(F.lit(1)).alias("n"), F.countDistinct(left).alias("l"), F.countDistinct(right).alias("r"), F.sum(F.octet_length(left)).alias("lb"), F.sum(F.octet_length(right)).alias("rb")
                 ).first()
                 how["layout"] = choose_layout(config.layout, r["n"], r["l"], r["r"], config.auto_min_group)

@@ -121,3 +121,10 @@ def test_rows_of_one_text_are_gathered():
 def test_native_keyed_join_makes_no_exchange(spark, sides):
     a, b = sides
     check(spark, lambda: connect(spark, scorer=KeywordScorer(TOKEN)).join(b, a, "p", "text", "said", keys=[("tags", "keys")]), a.join(b, F.expr(f"{OVERLAP} and {LAUGH}")), times=0.01)
+
+
+@pytest.mark.parametrize("anchor", ["auto", "left"])
+def test_auto_layout_is_chosen_without_texts_of_pairs(spark, sides, anchor):
+    a, b = sides
+    sem = connect(spark, scorer=service(), anchor=anchor, k=50, threads=2)
+    check(spark, lambda: sem.join(a, b, "p", "said", "text"), a.join(b, F.expr(LAUGH)), times=6)
