@@ -128,3 +128,11 @@ def test_auto_layout_is_chosen_without_texts_of_pairs(spark, sides, anchor):
     a, b = sides
     sem = connect(spark, scorer=service(), anchor=anchor, k=50, threads=2)
     check(spark, lambda: sem.join(a, b, "p", "said", "text"), a.join(b, F.expr(LAUGH)), times=6)
+
+
+def test_anti_join_exchanges_texts_once(spark, sides):
+    a, b = sides
+    heard = a.withColumn("heard", F.when(F.col("turn") > 0, F.col("said")))
+    frame = lambda: connect(spark, scorer=BATCH).join(heard, b, "p", "heard", "text", how="anti", on=F.col("turn") != F.col("part")).withColumn("item", F.lit(0))
+    want = heard.join(b, F.expr(f"heard is not null and turn != part and {LAUGH}"), "left_anti").withColumn("item", F.lit(0))
+    check(spark, frame, want)
